@@ -1,9 +1,9 @@
 """Near-duplicate texts: exact set similarity by tiled comparison of odd sketches.
 
 1. Every text becomes its set of distinct three-word shingles. Texts of a project with equal sets form
-   one class (``ref``, a 64-bit hash), so copies cost one row. A class carries its set size and a
-   256-bit odd sketch: the parity of its shingles per bit. The exclusive-or of two sketches is the
-   sketch of the sets' symmetric difference, so its bit count never exceeds that difference.
+   one class (``ref``, a 64-bit hash), so copies cost one row. A class carries its set size n and an
+   odd sketch of at least 3n bits: the parity of its shingles per bit. The exclusive-or of two sketches
+   is the sketch of the sets' symmetric difference, so its bit count never exceeds that difference.
 2. Blocks come from prefix filtering, which loses no pair: sets with a similarity of at least t share
    one of the first n - ceil(t n) + 1 shingles in any fixed order. Rare shingles come first, by a count
    sketch of fixed size over all texts.
@@ -30,10 +30,12 @@ from lorekeep.sources.tables import materialise
 #: Similarity limit as a fraction, 3/5.
 NUM, DEN = 3, 5
 #: Counters of the shingle count sketch and bits of the filter of paired classes, as powers of two.
-COUNT_BITS, FILTER_BITS = 20, 24
+COUNT_BITS, FILTER_BITS = 22, 24
 #: Largest block compared as one, and rows of a tile inside it.
 TILE, ROWS = 2048, 256
 PIECE = 4096
+#: Bits of the smallest odd sketch, as a power of two; each level has twice as many.
+SKETCH_BITS = 8
 
 
 def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -54,18 +56,28 @@ def _refs(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def _odd_sketch(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(n), 4), "uint64")
-    some = n > 0
-    if some.any():
-        at = np.concatenate(([0], np.cumsum(n[some])[:-1]))
-        word, bit = sh >> np.uint64(62), np.uint64(1) << ((sh >> np.uint64(56)) & np.uint64(63))
-        for w in range(4):
-            out[some, w] = np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at)
-    return out
+def _level(n: np.ndarray) -> np.ndarray:
+    """Sketch level of a set size; sizes of similar sets differ by less than a factor of two, so by one level."""
+    return np.maximum(0, np.ceil(np.log2(np.maximum(3 * n, 1))).astype("int64") - SKETCH_BITS)
+
+
+def _odd_sketches(sh: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity bits of each text's shingles; the bit is taken from a shingle's low bits, so that the halves
+    of a sketch fold into the sketch of half the bits."""
+    bits = 1 << (SKETCH_BITS + _level(n))
+    start = np.cumsum(bits) - bits
+    at = np.repeat(start, n) + (sh & np.repeat(bits - 1, n).astype("uint64")).astype("int64")
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype("uint8")
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[a >> 3 : (a + k) >> 3] for a, k in zip(start.tolist(), bits.tolist())]
 
 
-_SCAN = "id string, project string, ref bigint, n int, x0 bigint, x1 bigint, x2 bigint, x3 bigint, piece int, counts binary"
+def _order(odd: list[bytes], n: np.ndarray) -> np.ndarray:
+    """Sort key of sketches: by level, then by bit count."""
+    return ((_level(n) << 26) + np.array([int.from_bytes(x).bit_count() for x in odd], "int64")).astype("int32")
+
+
+_SCAN = "id string, project string, ref bigint, n int, bits int, sketch binary, piece int, counts binary"
 
 
 def _scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,13 +85,13 @@ def _scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNT_BITS, "uint32")
     for b, lo, hi, _, sh, n in _batches(source):
         counts += np.bincount((sh >> np.uint64(64 - COUNT_BITS)).astype("int64"), minlength=len(counts)).astype("uint32")
-        x = _odd_sketch(sh, n).view("int64")
+        odd = _odd_sketches(sh, n)
         none = pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())
-        yield pa.record_batch([b.column("id")[lo:hi], b.column("project")[lo:hi], pa.array(_refs(sh, n).view("int64")), pa.array(n.astype("int32")), *[pa.array(x[:, k].copy()) for k in range(4)], *none], names=_names(_SCAN))
+        yield pa.record_batch([b.column("id")[lo:hi], b.column("project")[lo:hi], pa.array(_refs(sh, n).view("int64")), pa.array(n.astype("int32")), pa.array(_order(odd, n), pa.int32()), pa.array(odd, pa.binary()), *none], names=_names(_SCAN))
     pieces = counts.reshape(-1, PIECE)
     used = np.flatnonzero(pieces.any(axis=1))
     k = len(used)
-    yield pa.record_batch([pa.nulls(k, pa.string())] * 2 + [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32())] + [pa.nulls(k, pa.int64())] * 4 + [pa.array(used.astype("int32")), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=_names(_SCAN))
+    yield pa.record_batch([pa.nulls(k, pa.string())] * 2 + [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(used.astype("int32")), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=_names(_SCAN))
 
 
 def _names(schema: str) -> list[str]:
@@ -176,19 +188,47 @@ def _block_rows(block: np.ndarray, ref: np.ndarray, side: int) -> pa.RecordBatch
     return pa.record_batch([pa.array(block.view("int64")), pa.array(ref), pa.array(np.full(len(ref), side, "int8"))], names=["block", "ref", "side"])
 
 
+def _xor_counts(sketches: np.ndarray, n: np.ndarray) -> Callable:
+    """Function (i, j) -> differing bits of rows' sketches, folded to the smaller of two neighbouring levels."""
+    level = _level(n)
+    own, at = {}, np.zeros(len(n), "int64")
+    for k in np.unique(level):
+        rows = np.flatnonzero(level == k)
+        own[k] = np.frombuffer(b"".join(sketches[rows]), "uint64").reshape(len(rows), -1)
+        at[rows] = np.arange(len(rows))
+    folded = {k: x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :] for k, x in own.items() if k - 1 in own}
+
+    def xor(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), "int64")
+        least, first = np.minimum(level[i], level[j]), level[i] >= level[j]
+        hi, lo = np.where(first, i, j), np.where(first, j, i)
+        for k in np.unique(least):
+            for up, table in ((0, own), (1, folded)):
+                sel = np.flatnonzero((least == k) & (level[hi] == k + up))
+                if not len(sel):
+                    continue
+                for part in np.array_split(sel, len(sel) * own[k].shape[1] // (1 << 20) + 1):
+                    out[part] = np.bitwise_count(table[k + up][at[hi[part]]] ^ own[k][at[lo[part]]]).sum(axis=1, dtype="int64")
+        return out
+
+    return xor
+
+
 def _compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of classes of a block whose sketches differ in no more bits than the radius allows."""
     for r in _runs(source, "block"):
-        x = np.stack([r[f"x{k}"].view("uint64") for k in range(4)], axis=1)
         block, n, bits, side, ref = r["block"], r["n"].astype("int64"), r["bits"].astype("int64"), r["side"], r["ref"]
+        level, xor = _level(n), _xor_counts(r["sketch"], n)
         at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
         size = np.diff(np.append(at, len(block)))
 
         def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             radius = (DEN - NUM) * (n[i] + n[j]) // (DEN + NUM)
-            ok = (np.abs(bits[i] - bits[j]) <= radius) & ((side[i] == 0) | (side[i] != side[j]))
+            apart = level[i] - level[j]
+            # bit counts can be compared at one level only
+            ok = np.where(apart == 0, np.abs(bits[i] - bits[j]) <= radius, np.abs(apart) == 1) & ((side[i] == 0) | (side[i] != side[j]))
             i, j, radius = i[ok], j[ok], radius[ok]
-            ok = np.bitwise_count(x[i] ^ x[j]).sum(axis=1, dtype="int64") <= radius
+            ok = xor(i, j) <= radius
             return i[ok], j[ok]
 
         found = []
@@ -205,8 +245,8 @@ def _compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tiles = [np.arange(k, min(k + ROWS, at[b] + size[b])) for k in range(at[b], at[b] + size[b], ROWS)]
             for a, left in enumerate(tiles):
                 for right in tiles[a:]:
-                    if bits[right[0]] - bits[left[-1]] > (DEN - NUM) * (n[left].max() + n[right].max()) // (DEN + NUM):
-                        continue  # rows are sorted by bit count, yet sizes are not: other tiles may still be in reach
+                    if level[left[0]] == level[right[-1]] and bits[right[0]] - bits[left[-1]] > (DEN - NUM) * (n[left].max() + n[right].max()) // (DEN + NUM):
+                        continue  # bit counts rise from tile to tile, sizes need not: later tiles may be in reach again
                     i, j = np.repeat(left, len(right)), np.tile(right, len(left))
                     found.append(close(i[i < j], j[i < j]))
         if found:
@@ -269,8 +309,7 @@ def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     weights = spark.sparkContext.broadcast(np.minimum(np.log2(counts + 1.0) * 8, 255).astype("uint8"))
     prefixes = paired.mapInArrow(_prefix(weights), "shingle bigint, ref bigint")
     blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "ref").mapInArrow(_blocks, "block bigint, ref bigint, side tinyint").distinct()
-    bits = sum((F.bit_count(f"x{k}") for k in range(4)), F.lit(0)).alias("bits")
-    classes = scanned.where((F.col("n") > 0) & F.col("project").isNotNull()).select("ref", "n", "x0", "x1", "x2", "x3", bits).distinct()
+    classes = scanned.where((F.col("n") > 0) & F.col("project").isNotNull()).select("ref", "n", "sketch", "bits").dropDuplicates(["ref"])
     candidates = blocks.join(classes, "ref").repartition("block").sortWithinPartitions("block", "bits").mapInArrow(_compare, "a bigint, b bigint").distinct()
     candidates = materialise(candidates, "pairs")
     wanted = _merged(candidates.mapInArrow(_filter_bits, "piece int, counts binary"), "uint8", np.bitwise_or, 1 << FILTER_BITS >> 3)
