@@ -128,7 +128,7 @@ def _prefix(weights) -> Callable:
             order = np.lexsort((sh, w[(sh >> np.uint64(64 - COUNT_BITS)).astype("int64")], text))
             rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
             keep = (rank < (n - -(-NUM * n // DEN) + 1)[text]) & first[text]
-            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64"))], names=["shingle", "ref"])
+            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64")), pa.array(n[text][keep].astype("int32")), pa.array(rank[keep].astype("int32"))], names=["shingle", "ref", "n", "pos"])
 
     return prefix
 
@@ -155,6 +155,27 @@ def _runs(source: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.n
         yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
+def _useful(at: np.ndarray, size: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    """Rows of runs that may have a partner in their run.
+
+    Two similar sets meet at the first shingle they share. What they share lies from there on, so each
+    has at least NUM/(NUM+DEN) of the summed sizes left at that position. Runs over 64 rows stay whole.
+    """
+    out = np.repeat(size > 64, size)
+    own = np.repeat(np.arange(len(at)), size)
+    left = (DEN + NUM) * (n - pos)
+    here = np.flatnonzero(~out)
+    for d in range(1, 64):
+        here = here[here + d < len(own)]
+        here = here[own[here] == own[here + d]]
+        if not len(here):
+            break
+        i, j = here, here + d
+        ok = (np.minimum(left[i], left[j]) >= NUM * (n[i] + n[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        out[i[ok]] = out[j[ok]] = True
+    return out
+
+
 def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(block, ref, side) of shingles that several classes have in their prefix.
 
@@ -162,12 +183,15 @@ def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     only rows of different sides.
     """
     for r in _runs(source, "shingle"):
-        s, ref = r["shingle"], r["ref"]
-        new = np.ones(len(s), bool)
-        new[1:] = (s[1:] != s[:-1]) | (ref[1:] != ref[:-1])
-        s, ref = s[new], ref[new]
-        at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-        n = np.diff(np.append(at, len(s)))
+        new = np.ones(len(r["ref"]), bool)
+        new[1:] = (r["shingle"][1:] != r["shingle"][:-1]) | (r["ref"][1:] != r["ref"][:-1])
+        s, ref = r["shingle"][new], r["ref"][new]
+        at, size = _starts(s)
+        use = _useful(at, size, r["n"][new].astype("int64"), r["pos"][new].astype("int64"))
+        s, ref = s[use], ref[use]
+        if not len(s):
+            continue
+        at, n = _starts(s)
         block = mix(np.add.reduceat(mix(ref.view("uint64")), at) + n.astype("uint64"))
         keep = np.zeros(len(at), bool)
         keep[np.unique(block, return_index=True)[1]] = True
@@ -184,6 +208,12 @@ def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         yield _block_rows(np.repeat(own, len(tiles[b])), tiles[b], 2)
 
 
+def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First row and length of each run of equal keys."""
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return at, np.diff(np.append(at, len(key)))
+
+
 def _block_rows(block: np.ndarray, ref: np.ndarray, side: int) -> pa.RecordBatch:
     return pa.record_batch([pa.array(block.view("int64")), pa.array(ref), pa.array(np.full(len(ref), side, "int8"))], names=["block", "ref", "side"])
 
@@ -219,14 +249,14 @@ def _compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for r in _runs(source, "block"):
         block, n, bits, side, ref = r["block"], r["n"].astype("int64"), r["bits"].astype("int64"), r["side"], r["ref"]
         level, xor = _level(n), _xor_counts(r["sketch"], n)
-        at = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        size = np.diff(np.append(at, len(block)))
+        at, size = _starts(block)
 
         def close(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             radius = (DEN - NUM) * (n[i] + n[j]) // (DEN + NUM)
             apart = level[i] - level[j]
             # bit counts can be compared at one level only
             ok = np.where(apart == 0, np.abs(bits[i] - bits[j]) <= radius, np.abs(apart) == 1) & ((side[i] == 0) | (side[i] != side[j]))
+            ok &= ref[i] != ref[j]  # several tasks may find the same block
             i, j, radius = i[ok], j[ok], radius[ok]
             ok = xor(i, j) <= radius
             return i[ok], j[ok]
@@ -307,8 +337,8 @@ def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = scanned.where(F.col("piece").isNull()).select("id", "project", "ref", "n").dropDuplicates(["id"])
     counts = _merged(scanned.where(F.col("piece").isNotNull()), "uint32", np.add, 1 << COUNT_BITS)
     weights = spark.sparkContext.broadcast(np.minimum(np.log2(counts + 1.0) * 8, 255).astype("uint8"))
-    prefixes = paired.mapInArrow(_prefix(weights), "shingle bigint, ref bigint")
-    blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "ref").mapInArrow(_blocks, "block bigint, ref bigint, side tinyint").distinct()
+    prefixes = paired.mapInArrow(_prefix(weights), "shingle bigint, ref bigint, n int, pos int")
+    blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "ref").mapInArrow(_blocks, "block bigint, ref bigint, side tinyint")
     classes = scanned.where((F.col("n") > 0) & F.col("project").isNotNull()).select("ref", "n", "sketch", "bits").dropDuplicates(["ref"])
     candidates = blocks.join(classes, "ref").repartition("block").sortWithinPartitions("block", "bits").mapInArrow(_compare, "a bigint, b bigint").distinct()
     candidates = materialise(candidates, "pairs")
