@@ -88,7 +88,7 @@ def _scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _odd_sketches(sh, n)
         none = pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())
         yield pa.record_batch([b.column("id")[lo:hi], b.column("project")[lo:hi], pa.array(_refs(sh, n).view("int64")), pa.array(n.astype("int32")), pa.array(_order(odd, n), pa.int32()), pa.array(odd, pa.binary()), *none], names=_names(_SCAN))
-    pieces = counts.reshape(-1, PIECE)
+    pieces = np.minimum(counts, 255).astype("uint8").reshape(-1, PIECE)  # they only order shingles
     used = np.flatnonzero(pieces.any(axis=1))
     k = len(used)
     yield pa.record_batch([pa.nulls(k, pa.string())] * 2 + [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(used.astype("int32")), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=_names(_SCAN))
@@ -105,7 +105,7 @@ def _merged(pieces: DataFrame, kind: str, join: Callable, total: int) -> np.ndar
         held: dict[int, np.ndarray] = {}
         for b in source:
             for p, raw in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(raw, kind)
+                x = np.frombuffer(raw, "uint8").astype(kind)
                 held[p] = join(held[p], x) if p in held else x
         if held:
             yield pa.record_batch([pa.array(held, pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["piece", "counts"])
@@ -128,7 +128,7 @@ def _prefix(weights) -> Callable:
             order = np.lexsort((sh, w[(sh >> np.uint64(64 - COUNT_BITS)).astype("int64")], text))
             rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
             keep = (rank < (n - -(-NUM * n // DEN) + 1)[text]) & first[text]
-            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64")), pa.array(n[text][keep].astype("int32")), pa.array(rank[keep].astype("int32"))], names=["shingle", "ref", "n", "pos"])
+            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64")), pa.array(n[text][keep] << 32 | rank[keep])], names=["shingle", "ref", "n_pos"])
 
     return prefix
 
@@ -187,7 +187,7 @@ def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (r["shingle"][1:] != r["shingle"][:-1]) | (r["ref"][1:] != r["ref"][:-1])
         s, ref = r["shingle"][new], r["ref"][new]
         at, size = _starts(s)
-        use = _useful(at, size, r["n"][new].astype("int64"), r["pos"][new].astype("int64"))
+        use = _useful(at, size, r["n_pos"][new] >> 32, r["n_pos"][new] & 0xFFFFFFFF)
         s, ref = s[use], ref[use]
         if not len(s):
             continue
@@ -337,7 +337,7 @@ def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = scanned.where(F.col("piece").isNull()).select("id", "project", "ref", "n").dropDuplicates(["id"])
     counts = _merged(scanned.where(F.col("piece").isNotNull()), "uint32", np.add, 1 << COUNT_BITS)
     weights = spark.sparkContext.broadcast(np.minimum(np.log2(counts + 1.0) * 8, 255).astype("uint8"))
-    prefixes = paired.mapInArrow(_prefix(weights), "shingle bigint, ref bigint, n int, pos int")
+    prefixes = paired.mapInArrow(_prefix(weights), "shingle bigint, ref bigint, n_pos bigint")
     blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "ref").mapInArrow(_blocks, "block bigint, ref bigint, side tinyint")
     classes = scanned.where((F.col("n") > 0) & F.col("project").isNotNull()).select("ref", "n", "sketch", "bits").dropDuplicates(["ref"])
     candidates = blocks.join(classes, "ref").repartition("block").sortWithinPartitions("block", "bits").mapInArrow(_compare, "a bigint, b bigint").distinct()
