@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import near_dup
+from lorekeep.llm import digest, encode, names, near_dup, packing, split
 from lorekeep.sources.tables import table
 
 
@@ -16,6 +16,37 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(table(spark, d, "chunks"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.oversized(table(spark, d, "chunks"))
 
-SQL: dict[str, str] = {}
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.split_chunks(table(spark, d, "chunks"))
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    return digest.percentiles(digest.measured(table(spark, d, "telemetry_events")), ["tool_name", "project"])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(table(spark, d, "entities"), table(spark, d, "given_names"))
+
+
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    return names.name_groups(table(spark, d, "entities"), table(spark, d, "given_names"))
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode_texts(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_percentiles, p6_found, p6_groups, p7_ids, p8_containers)}
+
+SQL = {
+    # every blank sign counts here only at the ends of a text
+    "p3_found": r"SELECT DISTINCT id FROM chunks WHERE id IS NOT NULL AND length(trim(text, chr(32) || chr(9) || chr(10) || chr(13))) > 1600",
+}
