@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.shingles import mix, project_keys, shingles, text_slices
+from lorekeep.llm.shingles import mix, ordered, project_keys, shingles, text_slices
 from lorekeep.operators.components import connected_components
 from lorekeep.sources.tables import materialise
 
@@ -125,10 +125,10 @@ def _prefix(weights) -> Callable:
             refs = _refs(sh, n)
             first = np.zeros(len(n), bool)
             first[np.unique(refs, return_index=True)[1]] = True
-            order = np.lexsort((sh, w[(sh >> np.uint64(64 - COUNT_BITS)).astype("int64")], text))
+            order = ordered(text, w[(sh >> np.uint64(64 - COUNT_BITS)).astype("int64")], sh)
             rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
             keep = (rank < (n - -(-NUM * n // DEN) + 1)[text]) & first[text]
-            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64")), pa.array(n[text][keep] << 32 | rank[keep])], names=["shingle", "ref", "n_pos"])
+            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64")), pa.array(n[text][keep] << 20 | np.minimum(rank[keep], 0xFFFFF))], names=["shingle", "ref", "n_pos"])
 
     return prefix
 
@@ -187,7 +187,7 @@ def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new[1:] = (r["shingle"][1:] != r["shingle"][:-1]) | (r["ref"][1:] != r["ref"][:-1])
         s, ref = r["shingle"][new], r["ref"][new]
         at, size = _starts(s)
-        use = _useful(at, size, r["n_pos"][new] >> 32, r["n_pos"][new] & 0xFFFFFFFF)
+        use = _useful(at, size, r["n_pos"][new] >> 20, r["n_pos"][new] & 0xFFFFF)
         s, ref = s[use], ref[use]
         if not len(s):
             continue

@@ -48,6 +48,22 @@ def text_slices(texts: list) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
+def ordered(text: np.ndarray, *by: np.ndarray) -> np.ndarray:
+    """Order by text, then by the arrays of ``by`` (a byte array first, if there are two).
+
+    One sort of a packed key does it; the full sort follows only where packed keys tie.
+    """
+    key = by[-1] >> np.uint64(20 + 8 * (len(by) - 1))
+    if len(by) > 1:
+        key |= by[0].astype("uint64") << np.uint64(36)
+    key |= text.astype("uint64") << np.uint64(44)
+    order = np.argsort(key)
+    tie = key[order[1:]] == key[order[:-1]]
+    if (tie & (by[-1][order[1:]] != by[-1][order[:-1]])).any() or (len(text) and text[-1] >= 1 << 20):
+        return np.lexsort((*by[::-1], text))
+    return order
+
+
 def shingles(texts: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text index, hash) of the distinct three-word shingles of each text, sorted by both.
 
@@ -71,7 +87,7 @@ def shingles(texts: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     three = hashed[:-2] * np.uint64(WORDS[0]) + hashed[1:-1] * np.uint64(WORDS[1]) + hashed[2:] * np.uint64(WORDS[2])
     inside = text[:-2] == text[2:]
     text, three = text[:-2][inside], mix(three[inside] ^ keys[text[:-2][inside]])
-    order = np.lexsort((three, text))
+    order = ordered(text, three)
     text, three = text[order], three[order]
     new = np.ones(len(text), bool)
     new[1:] = (text[1:] != text[:-1]) | (three[1:] != three[:-1])
