@@ -14,10 +14,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-DELTA = 400
+DELTA = 1000
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 _STATE = "means array<double>, weights array<bigint>, low double, high double"
+_DIGEST = T.StructType([T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("weights", T.ArrayType(T.LongType())), T.StructField("low", T.DoubleType()), T.StructField("high", T.DoubleType())])
 
 
 def cluster(group: np.ndarray, value: np.ndarray, weight: np.ndarray, delta: int = DELTA) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +59,7 @@ def _digests(keys: pd.DataFrame, codes: np.ndarray, value: np.ndarray, n: np.nda
     return keys.assign(means=np.split(mean, cut), weights=np.split(weight, cut), low=low.to_numpy(), high=high.to_numpy())
 
 
-@F.pandas_udf(_STATE)
+@F.pandas_udf(_DIGEST)
 def _recluster(means: pd.Series, weights: pd.Series, low: pd.Series, high: pd.Series) -> pd.DataFrame:
     if not len(means):
         return pd.DataFrame({"means": [], "weights": [], "low": [], "high": []})
@@ -82,13 +84,16 @@ def build_digests(values: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _estimates(quantiles: Sequence[float]) -> Callable:
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def estimates(means: pd.Series, weights: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
         out = []
         for m, w, a, b in zip(means, weights, low, high):
-            # a centroid stands at the middle of its weight; whole measurements round to the nearer one
-            at = (np.cumsum(w) - np.asarray(w) / 2) / np.sum(w)
-            out.append(np.clip(np.interp(quantiles, np.concatenate(([0.0], at, [1.0])), np.concatenate(([a], m, [b]))), a, b))
+            # the rank asked for, at the middle of its own unit; a centroid stands at the middle of its weight
+            cum = np.cumsum(w)
+            rank = np.maximum(np.ceil(np.asarray(quantiles) * cum[-1] - 1e-9), 1) - 0.5
+            est = np.interp(rank, np.concatenate(([0.0], cum - np.asarray(w) / 2, [cum[-1]])), np.concatenate(([a], m, [b])))
+            own = np.searchsorted(cum, rank)
+            out.append(np.clip(np.where(np.asarray(w)[own] == 1, np.asarray(m)[own], est), a, b))
         return pd.Series(out)
 
     return estimates

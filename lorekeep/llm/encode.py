@@ -56,7 +56,6 @@ def join(text: str, left: tuple[int, int, list[int]], right: tuple[int, int, lis
     size = WINDOW
     while True:
         lo, hi = max(a, cut - size), min(b, cut + size)
-        # a word start of the left side: one that a scan from inside must hit is a white-space run's first sign after a letter
         start = _sure(text, a, lo, cut)
         if start is not None:
             seen = set(_words(text, cut, hi))
@@ -69,7 +68,9 @@ def join(text: str, left: tuple[int, int, list[int]], right: tuple[int, int, lis
             theirs = seen if hi == b else {w for w in seen if w <= (stable[-1] if stable else -1)}
             meet = next((w for w in stable if w >= cut and w in theirs), None)
             if meet is not None:
-                middle = enc.encode_ordinary(text[start:meet])
+                # word by word, since the last of them may owe its end to what follows it
+                at = ours[: ours.index(meet) + 1]
+                middle = [t for p, q in zip(at, at[1:]) for t in enc.encode_ordinary(text[p:q])]
                 return a, b, _head(text, a, start, cut, x, enc) + middle + _tail(text, cut, meet, y, enc)
         if lo == a and hi == b:
             return a, b, enc.encode_ordinary(text[a:b])

@@ -99,7 +99,7 @@ def spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Column:
     def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [dict(zip(("start", "core", "end"), p)) for p in pieces_of(t, limit, overlap)])
 
-    big = F.length(F.trim(F.lit(BLANK), text)) > limit
+    big = F.length(F.trim(text, F.lit(BLANK))) > limit
     one = F.struct(F.lit(0).alias("start"), F.lit(0).alias("core"), F.coalesce(F.length(text), F.lit(0)).alias("end"))
     return F.coalesce(cut(F.when(big, text)), F.array(one))
 
