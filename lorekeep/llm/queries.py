@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import digest, encode, names, near_dup, packing, split
+from lorekeep.llm import digest, encode, names, near_dup, packing, pii, split
 from lorekeep.sources.tables import table
 
 
@@ -44,7 +44,15 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_percentiles, p6_found, p6_groups, p7_ids, p8_containers)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.found(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_pieces, p4_percentiles, p6_found, p6_groups, p7_ids, p8_containers, p9_found, p9_redacted)}
 
 SQL = {
     # every blank sign counts here only at the ends of a text
