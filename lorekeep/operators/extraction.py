@@ -85,7 +85,7 @@ def registry(names: DataFrame, by: list[str]) -> DataFrame:
 
 def mentions(docs: DataFrame, keys: list[str], project: str = "project") -> DataFrame:
     """(keys..., entity_id): which text mentions which canonical entity."""
-    forms = surface_forms(docs, keys)
+    forms = surface_forms(docs, [*keys, project])
     return forms.select(*keys, entity_id(F.col(project), F.col("name")).alias("entity_id")).distinct()
 
 

@@ -35,11 +35,12 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     """
     scope = scope or []
     terms = queries.select("query_id", *scope, F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
-    lengths = docs.select(key, *scope, F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("dl"))
+    split = docs.select(key, *scope, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("toks"))
+    lengths = split.select(key, *scope, F.size("toks").alias("dl"))
     corpus = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # only the queries' terms are counted: the terms reach the tokens before anything is shuffled
     asked = terms.select(*scope, "term").distinct()
-    hit = docs.select(key, *scope, F.size(tokens(F.col(text))).alias("dl"), F.explode(tokens(F.col(text))).alias("term"))
+    hit = split.select(key, *scope, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
     tf = hit.join(asked, [*scope, "term"]).groupBy(key, *scope, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     stat = df.crossJoin(F.broadcast(corpus)) if not scope else df.join(corpus, scope)

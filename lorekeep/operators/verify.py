@@ -66,7 +66,7 @@ def parse_conflict(answer: Column) -> Column:
     return F.struct((up.contains("CONFLICT") & ~up.contains("NO CONFLICT")).alias("conflict"), conf.alias("confidence"))
 
 
-LINE = r"^\s*[-*\d.]*\s*(.+?)\s*[-–—]+\s*\[([^\]]+)\]\s*(?:→|->)\s*(.+?)\s*(?:\|?\s*CONFIDENCE\s*[:=]\s*([01](?:\.\d+)?))?\s*$"
+LINE = r"^\s*(?:(?:[-*]|\d+[.)])\s+)?(.+?)\s*[-–—]+\s*\[([^\]]+)\]\s*(?:→|->)\s*(.+?)\s*(?:\|?\s*CONFIDENCE\s*[:=]\s*([01](?:\.\d+)?))?\s*$"
 
 
 def parse_relation_lines(answers: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:

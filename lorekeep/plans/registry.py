@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekeep.plans import problems
+from lorekeep.plans import knowledge, problems, retrieval, usage
 
-MODULES = [problems]
+MODULES = [problems, retrieval, usage, knowledge]
 
 
 def core_queries() -> dict:
