@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.encode import token_counts
+from lorekeep.sources.tables import materialise
 
 CAPACITY = 4096
 #: A shard's content: about so many full containers, at most about so many items.
@@ -105,4 +106,4 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pack`` of texts sized in tokens of the byte-level BPE tokenizer; null and empty texts have none."""
-    return pack(token_counts(docs), capacity)
+    return pack(materialise(token_counts(docs), "sizes"), capacity)  # else both passes of pack would encode
