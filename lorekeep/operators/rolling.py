@@ -60,7 +60,11 @@ def apply_corrections(nodes: DataFrame, corrections: DataFrame) -> DataFrame:
 
     Only the ancestors of the corrected days get new sums; every other node passes through.
     """
-    touched = segment_nodes(corrections)
+    return merge_nodes(nodes, segment_nodes(corrections))
+
+
+def merge_nodes(nodes: DataFrame, touched: DataFrame) -> DataFrame:
+    """Sums of two node tables; nodes of one table only pass through."""
     joined = nodes.alias("n").join(touched.alias("t"), ["project", "level", "idx"], "full_outer")
     return joined.select("project", "level", "idx", *[(F.coalesce(F.col(f"n.{c}"), F.lit(0)) + F.coalesce(F.col(f"t.{c}"), F.lit(0))).alias(c) for c in SUMS])
 
