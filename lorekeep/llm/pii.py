@@ -32,9 +32,9 @@ _DOT = r"\s?(?:\.|\[dot\]|\(dot\)|\bdot\b|\bpunto\b|\bpunkt\b|\bpoint\b)\s?"
 # Patterns by kind, in the order in which they are tried; named groups mark the span itself.
 PATTERNS: dict[str, list[re.Pattern]] = {
     "email": [
-        re.compile(r"[\w.+-]*\w@[\w-]+(?:\.[\w-]+)*"),
-        re.compile(rf"(?i)[\w.+-]*\w\s?(?:\[at\]|\(at\)|\{{at\}}|\(a\)|\(arroba\))\s?[\w-]+(?:{_DOT}[\w-]+)+"),
-        re.compile(r"(?i)[\w.+-]*\w (?:at|arroba) [\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+"),
+        re.compile(r"(?<![\w.+-])[\w.+-]*\w@[\w-]+(?:\.[\w-]+)*"),
+        re.compile(rf"(?i)(?<![\w.+-])[\w.+-]*\w\s?(?:\[at\]|\(at\)|\{{at\}}|\(a\)|\(arroba\))\s?[\w-]+(?:{_DOT}[\w-]+)+"),
+        re.compile(r"(?i)(?<![\w.+-])[\w.+-]*\w (?:at|arroba) [\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+"),
     ],
     "phone": [re.compile(r"(?<![\w.+/-])(?:\+|\(\+?)?\d[\d() ./-]{5,18}\d(?![\w]|[.:-]\d)")],
     "id_number": [
@@ -72,6 +72,9 @@ PATTERNS: dict[str, list[re.Pattern]] = {
 }
 _GIVEN_OVERLAP = re.compile(rf"(?<![\w'’-])(?P<a>{_CAP})(?=(?: [A-Z]\.)* +{_CAP})")
 
+#: Place of the pattern for names in lower case.
+LOWER_CASE = 4
+
 # Cue words (fixed values), looked for in the lower-cased surroundings.
 CUES = {
     "id": "ssn|social security|nif|dni|nie|nino|ni number|national insurance|insurance n|tax id|steuer|passport|pass-nr|pass nr|ausweis|id card|insee|sécu|passeport|pasaporte|identity|reisepass|personalausweis|sozialvers|seguridad social|numéro de s|id-nr",
@@ -90,10 +93,18 @@ _PHONE_SHAPES = [re.compile(p) for p in (r"\+\d", r"\(\d{2,4}\) ?\d", r"\d{3}[-.
 _MAIL = re.compile(r"(?i)[a-z0-9._+-]+(?:@|\s?[\[({]?(?:at|arroba|a)[\])}]?\s?)[a-z][a-z0-9-]*(?:" + _DOT + r"[a-z][a-z-]+)+$")
 
 
+#: Signs without which the costlier patterns cannot match, by their place in PATTERNS.
+_NEEDS = {("email", 0): re.compile("@"), ("email", 1): re.compile(r"(?i)[\[({](?:at|a|arroba)[\])}]"), ("email", 2): re.compile(r"(?i) (?:at|arroba) [\w-]+ (?:dot|punto|punkt|point) ")}
+_LOWER = re.compile(r"(?<![^\W\d_])[a-zà-öø-ÿšž][^\W\d_]{2,}")
+
+
 def _spans(text: str, given: frozenset[str]) -> Iterator[tuple[str, int, int]]:
     seen = set()
+    lower = any(fold(w) in given for w in set(_LOWER.findall(text)))
     for kind, patterns in PATTERNS.items():
-        for p in patterns:
+        for i, p in enumerate(patterns):
+            if (kind, i) in _NEEDS and not _NEEDS[kind, i].search(text) or kind == "name" and i == LOWER_CASE and not lower:
+                continue
             for m in p.finditer(text):
                 group = "span" if "span" in p.groupindex else 0
                 a, b = m.start(group), m.end(group)
@@ -102,7 +113,7 @@ def _spans(text: str, given: frozenset[str]) -> Iterator[tuple[str, int, int]]:
                         b -= 1
                     if not 7 <= sum(c.isdigit() for c in text[a:b]) <= 15:
                         continue
-                if kind == "name" and text[a].islower() and fold(text[a:b].split(" ")[0]) not in given and fold(text[a:b].split(" ")[-1]) not in given:
+                if kind == "name" and text[a].islower() and not {*fold(text[a:b]).split(" ")} & given:
                     continue
                 if (kind, a, b) not in seen:
                     seen.add((kind, a, b))
