@@ -73,6 +73,10 @@ def _up(day: Column, level: Column) -> Column:
     return F.floor(day / F.pow(F.lit(2), level)).cast("int")
 
 
+def _node(level: int, idx: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), idx.alias("idx"))
+
+
 def range_nodes(low: Column, high: Column) -> Column:
     """The fewest nodes that tile days ``low`` to ``high``, as array<struct<level,idx>>."""
     picks = []
@@ -80,13 +84,12 @@ def range_nodes(low: Column, high: Column) -> Column:
         width = 1 << level
         left = F.ceil(low / F.lit(width)).cast("int")
         right = F.floor((high + 1) / F.lit(width)).cast("int")
-        node = lambda i, level=level: F.struct(F.lit(level).alias("level"), i.alias("idx"))
+        some = left < right
         if level == TOP:
-            picks.append(F.when(left < right, F.transform(F.sequence(left, right - 1), node)))
+            picks.append(F.when(some, F.transform(F.sequence(left, right - 1), lambda i: _node(TOP, i))))
         else:
-            some = left < right
-            picks.append(F.when(some & (left.bitwiseAND(F.lit(1)) == 1), F.array(node(left))))
-            picks.append(F.when(some & (right.bitwiseAND(F.lit(1)) == 1), F.array(node(right - 1))))
+            picks.append(F.when(some & (left.bitwiseAND(F.lit(1)) == 1), F.array(_node(level, left))))
+            picks.append(F.when(some & (right.bitwiseAND(F.lit(1)) == 1), F.array(_node(level, right - 1))))
     return F.flatten(F.filter(F.array(*picks), lambda x: x.isNotNull()))
 
 

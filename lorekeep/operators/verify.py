@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HIGH, LOW = 0.7, 0.3
 CALL_CAP = 30
@@ -90,7 +91,7 @@ def ask_model(rows: DataFrame, prompt: str, model: Callable[[str], str], out: st
                     answers.append("")
             yield b.assign(**{out: answers})
 
-    schema = rows.schema.add(out, "string")
+    schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())])
     return rows.mapInPandas(ask, schema)
 
 
