@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -6,6 +8,12 @@ from lorekeep.llm import pii
 DOC = "doc_id bigint, text string, kind string, spans string, features string, p string"
 
 
+@pytest.fixture(scope="module")
+def data():
+    """The smallest tables hold too few documents to learn from."""
+    return os.environ.get("LOREKEEP_DATA", "/root/testdata/sf0.01")
+
+
 @pytest.fixture(scope="module")
 def given(spark, data):
     return spark.read.parquet(f"{data}/given_names.parquet")
