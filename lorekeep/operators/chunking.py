@@ -52,9 +52,9 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Sections that fit the window never leave the JVM. Null, empty and blank texts have no chunks.
     """
-    parts = sections(F.col(text))
-    long = F.exists(parts, lambda s: F.length(s) > MAX_TOKENS * CHARS)
-    cut = docs.select(key, parts.alias("parts"), long.alias("long")).select(key, F.coalesce(_cut_sections(F.when(F.col("long"), F.col("parts"))), F.col("parts")).alias("parts"))
+    parts = docs.select(key, sections(F.col(text)).alias("parts"))
+    long = F.exists("parts", lambda s: F.length(s) > MAX_TOKENS * CHARS)
+    cut = parts.select(key, "parts", long.alias("long")).select(key, F.coalesce(_cut_sections(F.when(F.col("long"), F.col("parts"))), F.col("parts")).alias("parts"))
     each = cut.select(key, F.posexplode("parts").alias("chunk_idx", "text"))
     return each.select(key, "chunk_idx", chunk_id(F.col(key).cast("string"), F.col("chunk_idx")).alias("chunk_id"), "text")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Query terms up to this number are sent to all tasks; more are joined by shuffle.
+BROADCAST_TERMS = 100_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -36,11 +38,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     scope = scope or []
     terms = queries.select("query_id", *scope, F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
     split = docs.select(key, *scope, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("toks"))
-    lengths = split.select(key, *scope, F.size("toks").alias("dl"))
+    split = split.withColumn("dl", F.size("toks"))  # before the explode, which then carries no array along
+    lengths = split.select(key, *scope, "dl")
     corpus = lengths.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # only the queries' terms are counted: the terms reach the tokens before anything is shuffled
     asked = terms.select(*scope, "term").distinct()
-    hit = split.select(key, *scope, F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    if asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        asked = F.broadcast(asked)
+    hit = split.select(key, *scope, "dl", F.explode("toks").alias("term"))
     tf = hit.join(asked, [*scope, "term"]).groupBy(key, *scope, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
     stat = df.crossJoin(F.broadcast(corpus)) if not scope else df.join(corpus, scope)
