@@ -48,5 +48,5 @@ def fingerprint(text: Column) -> Column:
 
 def query_terms(query: Column) -> Column:
     """Distinct terms of a query in order: CamelCase words, capitalised words, back-tick spans."""
-    parts = [F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in ((r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b", 0), (r"\b[A-Z][A-Za-z0-9]+\b", 0), (r"`([^`]+)`", 1))]
+    parts = [F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in ((r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 0), (r"\b[A-Z][a-zA-Z]+\b", 0), (r"`([^`]+)`", 1))]
     return F.array_distinct(F.concat(*parts))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,25 +23,24 @@ def sections(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?m)^#{1,3}\s+"), strip), lambda s: s != "")
 
 
+def _break_ends(text: str) -> list[tuple[int, list[int]]]:
+    """(length, sorted end positions) of each kind of break, overlapping ones included."""
+    return [(len(b), [m.start() + len(b) for m in re.finditer(f"(?={re.escape(b)})", text)]) for b in BREAKS]
+
+
 def window_cuts(text: str, size: int, overlap: int) -> list[str]:
     """Pieces of at most ``size`` characters: each ends at the last break in the back half of its window,
     or at its end, and the next begins ``overlap`` characters before that."""
-    if len(text) <= size:
-        return [text]
-    out, start = [], 0
-    while start < len(text):
+    breaks = _break_ends(text) if len(text) > size else []
+    out, start, end = [], 0, 0
+    while end < len(text):
         end = min(start + size, len(text))
         if end < len(text):
-            half = start + size // 2
-            found = next((p + len(b) for b in BREAKS if (p := text.rfind(b, half, end)) >= 0), end)
-            end = max(found, start + 1)
-        piece = text[start:end].strip()
-        if piece:
-            out.append(piece)
-        if end >= len(text):
-            break
+            last = [(ends[k], n) for n, ends in breaks for k in [bisect_right(ends, end) - 1] if k >= 0]
+            end = next((e for e, n in last if e - n >= start + size // 2), end)
+        out.append(text[start:end].strip())
         start = max(end - overlap, start + 1)
-    return out
+    return [p for p in out if p]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

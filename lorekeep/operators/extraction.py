@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import canonical_key, entity_id
 
 # Words that no capitalised phrase may contain.
-STOP_WORDS = "a an and are as at be but by for from has have how i if in into is it its new no not of on or our so such that the their then there these they this to was we were what when where which who why will with you your".split()
-PHRASE = r"\b[A-Z][a-z]+(?: [A-Z][a-z]+){1,3}\b"
-CAMEL = r"\b[A-Z][a-z]+(?:[A-Z][a-z0-9]+)+\b"
-BACKTICK = r"`([^`\n]{2,40})`"
+STOP_WORDS = "the a an in on at to for of and or is are was were it this that with from".split()
+PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b"
+CAMEL = r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
+BACKTICK = r"`([^`]{2,40})`"
 #: From the most specific type to the least (fixed values).
 TYPE_ORDER = ("code", "identifier", "person", "org", "tool", "concept")
 
@@ -25,7 +25,7 @@ def _typed(names: Column, kind: str) -> Column:
 def capitalised(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(PHRASE), F.lit(0))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return _typed(F.filter(found, lambda p: ~F.arrays_overlap(F.split(F.lower(p), " "), stop)), "concept")
+    return _typed(F.filter(found, lambda p: ~F.arrays_overlap(F.split(F.lower(p), r"\s+"), stop)), "concept")
 
 
 def camel_case(text: Column) -> Column:

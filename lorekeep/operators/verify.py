@@ -46,6 +46,11 @@ def cap_calls(scored: DataFrame, by: list[str], order: list[str], cap: int = CAL
     return line.unionByName(scored.where("level <> 'borderline'").withColumn("ask", F.lit(False)))
 
 
+def said_confidence(upper: Column) -> Column:
+    """The number behind CONFIDENCE: in an upper-case answer; null without a readable one."""
+    return F.regexp_extract(upper, r"CONFIDENCE:\s*([0-9.]+)", 1).try_cast("double")
+
+
 def parse_verdict(answer: Column) -> Column:
     """struct<verdict, confidence, accepted> of a model's answer; an empty answer is a rejection.
 
@@ -53,28 +58,30 @@ def parse_verdict(answer: Column) -> Column:
     """
     up = F.upper(F.coalesce(answer, F.lit("")))
     verdict = F.when(up.contains("GROUNDED"), "GROUNDED").when(up.contains("PARTIAL"), "PARTIAL").otherwise("REJECTED")
-    said = F.regexp_extract(up, r"CONFIDENCE\s*[:=]\s*([01](?:\.\d+)?)", 1)
-    conf = F.when(said == "", 0.6).otherwise(said.cast("double"))
-    conf = F.when(F.trim(up) == "", 0.0).when(verdict == "PARTIAL", conf * 0.6).otherwise(conf)
-    return F.struct(verdict.alias("verdict"), F.round(conf, 6).alias("confidence"), (verdict != "REJECTED").alias("accepted"))
+    conf = F.coalesce(said_confidence(up), F.lit(0.6))
+    conf = F.when(up == "", 0.0).when(verdict == "PARTIAL", conf * 0.6).otherwise(conf)
+    return F.struct(verdict.alias("verdict"), F.round(conf, 4).alias("confidence"), (verdict != "REJECTED").alias("accepted"))
 
 
 def parse_conflict(answer: Column) -> Column:
     """struct<conflict, confidence>; without an answer there is no conflict, at 0.5."""
     up = F.upper(F.coalesce(answer, F.lit("")))
-    said = F.regexp_extract(up, r"CONFIDENCE\s*[:=]\s*([01](?:\.\d+)?)", 1)
-    conf = F.when(F.trim(up) == "", 0.5).when(said == "", 0.7).otherwise(said.cast("double"))
+    conf = F.when(up == "", 0.5).otherwise(F.coalesce(said_confidence(up), F.lit(0.7)))
     return F.struct((up.contains("CONFLICT") & ~up.contains("NO CONFLICT")).alias("conflict"), conf.alias("confidence"))
 
 
-LINE = r"^\s*(?:(?:[-*]|\d+[.)])\s+)?(.+?)\s*[-–—]+\s*\[([^\]]+)\]\s*(?:→|->)\s*(.+?)\s*(?:\|?\s*CONFIDENCE\s*[:=]\s*([01](?:\.\d+)?))?\s*$"
+#: A relation in a line of an answer (fixed format).
+LINE = r"(?i)^\s*(?:(?:[-*]|\d+[.)])\s+)?(.+?)\s*[-–—]+\[(.+?)\][-–—]+[>→]\s*(.+?)\s*\|?\s*CONFIDENCE:\s*([0-9.]+)"
 
 
 def parse_relation_lines(answers: DataFrame, keys: list[str], answer: str = "answer") -> DataFrame:
-    """(keys..., line, source, relation_type, target, confidence) of lines "A -[TYPE]-> B CONFIDENCE: x"."""
-    each = answers.select(*keys, F.posexplode(F.split(F.col(answer), r"\r?\n")).alias("line", "t")).where(F.col("t").rlike("(?i)" + LINE))
-    g = lambda i: F.regexp_extract("t", "(?i)" + LINE, i)
-    return each.select(*keys, "line", g(1).alias("source"), F.lower(F.regexp_replace(F.trim(g(2)), r"\s+", "_")).alias("relation_type"), g(3).alias("target"), F.when(g(4) == "", 0.5).otherwise(g(4).cast("double")).alias("confidence"))
+    """(keys..., line, source, relation_type, target, confidence) of lines "A -[TYPE]-> B CONFIDENCE: x".
+
+    Other lines are noise; an unreadable confidence is 0.5.
+    """
+    each = answers.select(*keys, F.posexplode(F.split(F.col(answer), r"\r?\n")).alias("line", "t")).where(F.col("t").rlike(LINE))
+    g = lambda i: F.trim(F.regexp_extract("t", LINE, i))
+    return each.select(*keys, "line", g(1).alias("source"), F.lower(g(2)).alias("relation_type"), g(3).alias("target"), F.round(F.coalesce(g(4).try_cast("double"), F.lit(0.5)), 4).alias("confidence"))
 
 
 def ask_model(rows: DataFrame, prompt: str, model: Callable[[str], str], out: str = "answer") -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions.text import canonical_key, entity_id
+from lorekeep.functions.text import canonical_key, entity_id, fingerprint, note_doc_id
 from lorekeep.operators import chunking, edges, extraction, fusion, graph, learn, pagerank, verify
+from lorekeep.sources import files
 from lorekeep.sources.tables import table
 
 AS_OF = "2025-06-01"
@@ -37,6 +38,24 @@ def reconstruct_document(spark: SparkSession, d: str) -> DataFrame:
     return chunking.reconstruct(c, ["project", "doc_id"])
 
 
+def document_ids(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").where("text is not null")
+    return t.select("doc_id", note_doc_id(F.coalesce("source", F.lit("")), F.col("text")).alias("note_id"), fingerprint(F.col("text")).alias("fingerprint"))
+
+
+def pending_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose content an ingest up to May 2026 had not seen under their source."""
+    t = table(spark, d, "documents").where("text is not null").select("doc_id", F.coalesce("source", F.lit("")).alias("path"), fingerprint(F.col("text")).alias("fingerprint"), "created_at")
+    return files.pending(t, t.where("created_at < timestamp '2026-05-01 00:00:00'")).select("doc_id", "path", "fingerprint")
+
+
+def relation_insert_ignore(spark: SparkSession, d: str) -> DataFrame:
+    """Verified relations first; of all others only new keys are added."""
+    r = _rel(spark, d).select(*graph.EDGE, F.coalesce("verified", F.lit(False)).alias("verified")).distinct()
+    merged = files.insert_ignore(r.where("verified"), r.where("not verified"), graph.EDGE)
+    return merged.groupBy("project").agg(F.count(F.lit(1)).alias("n"), F.count_if("verified").alias("verified"))
+
+
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_documents(table(spark, d, "documents"))
 
@@ -237,7 +256,7 @@ def verdict_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_lines(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat("from_entity", F.lit(" -["), F.upper("relation_type"), F.lit("]-> "), "to_entity", F.when(F.col("confidence").isNotNull(), F.format_string(" | CONFIDENCE: %.2f", F.floor(F.col("confidence") * 100) / 100)).otherwise(F.lit("")))
+    line = F.concat("from_entity", F.lit(" -["), F.upper("relation_type"), F.lit("]-> "), "to_entity", F.format_string(" | CONFIDENCE: %.2f", F.floor(F.coalesce("confidence", F.lit(0.5)) * 100) / 100))
     text = _rel(spark, d).where("session_id <> ''").groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("answer"))
     return verify.parse_relation_lines(text, ["session_id"])
 
@@ -253,7 +272,7 @@ def calibrated_scorer(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        reconstruct_document, chunk_documents, extract_entities, document_mentions, entity_registry, entity_ids, relation_upsert, entity_upsert, delete_relation, delete_entity, khop_1, khop_2, khop_outgoing, asof_neighbors,
+        document_ids, pending_documents, relation_insert_ignore, reconstruct_document, chunk_documents, extract_entities, document_mentions, entity_registry, entity_ids, relation_upsert, entity_upsert, delete_relation, delete_entity, khop_1, khop_2, khop_outgoing, asof_neighbors,
         shortest_path, asof_facts, supersede_facts, adjust_confidence, entity_term_lookup, chunks_near_entity, graph_search, fused_entity_search, ppr_transition, ppr_fixed_rounds, ppr_topk, edge_features, spurious_edges,
         spurious_edges_learned, prune_isolated, review_queue, relation_scores, verification_cap, verdict_parse, relation_lines, calibrated_scorer,
     )
@@ -299,6 +318,12 @@ r{i + 1} AS MATERIALIZED (SELECT n.node, 0.5::DOUBLE * (coalesce(f, 0) + lost /
 
 
 SQL = {
+    "document_ids": "SELECT doc_id, sha256(coalesce(source, '') || ':' || substring(text, 1, 256))[1:16] AS note_id, sha256(text)[1:16] AS fingerprint FROM documents WHERE text IS NOT NULL",
+    "pending_documents": """WITH t AS (SELECT doc_id, coalesce(source, '') AS path, sha256(text)[1:16] AS fingerprint, created_at FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, path, fingerprint FROM t ANTI JOIN (SELECT path, fingerprint FROM t WHERE created_at < TIMESTAMPTZ '2026-05-01 00:00:00+00') k USING (path, fingerprint)""",
+    "relation_insert_ignore": """WITH r AS (SELECT DISTINCT project, from_entity, relation_type, to_entity, coalesce(verified, false) AS v FROM relations),
+a AS (SELECT * FROM r WHERE v UNION ALL SELECT * FROM (SELECT * FROM r WHERE NOT v) n ANTI JOIN (SELECT * FROM r WHERE v) k USING (project, from_entity, relation_type, to_entity))
+SELECT project, count(*) AS n, count(*) FILTER (v) AS verified FROM a GROUP BY project""",
     "reconstruct_document": "WITH c AS (SELECT DISTINCT id, doc_id, chunk_idx, text, project FROM chunks WHERE text IS NOT NULL) SELECT project, doc_id, count(*) AS n_chunks, string_agg(text, chr(10) || chr(10) ORDER BY chunk_idx, id) AS text FROM c GROUP BY project, doc_id",
     "entity_registry": f"""WITH {_E}, k AS (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS key, length(regexp_replace(name, '\\P{{Lu}}', '', 'g')) AS ups FROM e WHERE name IS NOT NULL)
 SELECT project, key, arg_min(name, (-ups, length(name), name)) AS name,
@@ -355,7 +380,7 @@ WHERE round(abs(heuristic - 0.65::DOUBLE), 6) <= 0.25 AND CAST('0x' || md5(a ||
     "verification_cap": f"""WITH {_SCORED}, q AS (SELECT *, row_number() OVER (PARTITION BY project, level ORDER BY created_at, from_entity, relation_type, to_entity, score) AS i FROM l)
 SELECT project, CASE WHEN level = 'borderline' AND i > 30 THEN 'srmkg_cap' ELSE level END AS level, count(*) AS n, count(*) FILTER (level = 'borderline' AND i <= 30) AS asked FROM q GROUP BY 1, 2""",
     "verdict_parse": f"""WITH {_R}, v AS (SELECT CASE WHEN verified THEN 'GROUNDED' WHEN NOT verified THEN 'PARTIAL' ELSE 'REJECTED' END AS verdict, CAST(printf('%.2f', floor(coalesce(confidence, 0.5) * 100) / 100) AS DOUBLE) AS c FROM r)
-SELECT verdict, verdict <> 'REJECTED' AS accepted, count(*) AS n, round(avg(CASE verdict WHEN 'GROUNDED' THEN c WHEN 'PARTIAL' THEN round(c * 0.6::DOUBLE, 6) ELSE 0 END), 4) AS confidence FROM v GROUP BY ALL""",
-    "relation_lines": """WITH t AS (SELECT session_id, from_entity, relation_type, to_entity, confidence, from_entity || ' -[' || upper(relation_type) || ']-> ' || to_entity || coalesce(' | CONFIDENCE: ' || printf('%.2f', floor(confidence * 100) / 100), '') AS l FROM relations WHERE session_id <> '' AND relation_type IS NOT NULL)
+SELECT verdict, verdict <> 'REJECTED' AS accepted, count(*) AS n, round(avg(CASE verdict WHEN 'GROUNDED' THEN c WHEN 'PARTIAL' THEN round(c * 0.6::DOUBLE, 4) ELSE 0 END), 4) AS confidence FROM v GROUP BY ALL""",
+    "relation_lines": """WITH t AS (SELECT session_id, from_entity, relation_type, to_entity, confidence, from_entity || ' -[' || upper(relation_type) || ']-> ' || to_entity || ' | CONFIDENCE: ' || printf('%.2f', floor(coalesce(confidence, 0.5) * 100) / 100) AS l FROM relations WHERE session_id <> '' AND relation_type IS NOT NULL)
 SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY l) - 1 AS INTEGER) AS line, from_entity AS source, relation_type, to_entity AS target, coalesce(CAST(printf('%.2f', floor(confidence * 100) / 100) AS DOUBLE), 0.5) AS confidence FROM t""",
 }

@@ -15,8 +15,8 @@ def one(spark, **cols):
 
 
 def test_ids(spark):
-    r = one(spark, e=entity_id(F.lit("demo"), F.lit("Hydra-Mem")), l=entity_id(F.lit("p"), F.lit("LanceDB")), n=note_doc_id(F.lit("note"), F.lit("hello")), c=chunk_id(F.lit("d1"), F.lit(0)), f=fingerprint(F.lit("hello world")), k=canonical_key(F.lit("!!!")))
-    assert (r.e, r.l, r.n, r.c, r.f, r.k) == ("af22ad2e7a8c", "cc4eb92536b8", "cb55d39c0ad60ef0", "a7cd1d37555fac76f8c4f3f738196793", "b94d27b9934d3e08", "")
+    r = one(spark, e=entity_id(F.lit("demo"), F.lit("Lore-Keep")), l=entity_id(F.lit("p"), F.lit("StoreDB")), n=note_doc_id(F.lit("note"), F.lit("hello")), c=chunk_id(F.lit("d1"), F.lit(0)), f=fingerprint(F.lit("hello world")), k=canonical_key(F.lit("!!!")))
+    assert (r.e, r.l, r.n, r.c, r.f, r.k) == ("6e2b834b6a46", "f828dc36df49", "cb55d39c0ad60ef0", "a7cd1d37555fac76f8c4f3f738196793", "b94d27b9934d3e08", "")
 
 
 def test_strip_and_terms(spark):
@@ -31,8 +31,8 @@ def test_stub_embedding(spark):
 
 
 def test_bm25(spark):
-    docs = spark.createDataFrame([("k1", "garden nightly job prunes spurious edges"), ("k2", "it stores vector embeddings"), ("k3", "Grafeo is the default graph backend"), ("k4", None)], "doc_id string, text string").where("text is not null")
-    q = spark.createDataFrame([(1, "Grafeo backend")], "query_id int, query string")
+    docs = spark.createDataFrame([("k1", "garden nightly job prunes spurious edges"), ("k2", "it stores vector embeddings"), ("k3", "Kelvex is the default graph backend"), ("k4", None)], "doc_id string, text string").where("text is not null")
+    q = spark.createDataFrame([(1, "Kelvex backend")], "query_id int, query string")
     s = lexical.bm25_scores(docs, q).collect()
     assert [(r.doc_id, round(r.score, 6)) for r in s] == [("k3", 1.857191)]
 
@@ -55,14 +55,14 @@ def test_window_chunks(spark):
 
 
 def test_extraction(spark):
-    docs = spark.createDataFrame([("d", "The Night Gardener feeds GraphStore, not The Store. Use `top_k` and Night Gardener in Berlin.")], "doc_id string, text string")
+    docs = spark.createDataFrame([("d", "The Garden Keeper feeds GraphStore, not The Store. Use `top_k` and Garden Keeper in Berlin.")], "doc_id string, text string")
     got = [(r.name, r.type) for r in extraction.surface_forms(docs, ["doc_id"]).orderBy("pos").collect()]
-    assert ("GraphStore", "identifier") in got and ("top_k", "code") in got and ("Night Gardener", "concept") in got
+    assert ("GraphStore", "identifier") in got and ("top_k", "code") in got and ("Garden Keeper", "concept") in got
     with pytest.raises(ValueError):
         extraction.extractor("none")
-    names = spark.createDataFrame([(n, t) for n, t in (("HydraMem", "concept"), ("hydramem", "tool"), ("HYDRAMEM", "identifier"), ("Hydra Mem", None), ("!!!", "org"))], "name string, type string")
+    names = spark.createDataFrame([(n, t) for n, t in (("LoreKeep", "concept"), ("lorekeep", "tool"), ("LOREKEEP", "identifier"), ("Lore Keep", None), ("!!!", "org"))], "name string, type string")
     r = extraction.registry(names, []).collect()
-    assert len(r) == 1 and (r[0].name, r[0].type, r[0].merged) == ("HYDRAMEM", "identifier", 3)
+    assert len(r) == 1 and (r[0].name, r[0].type, r[0].merged) == ("LOREKEEP", "identifier", 3)
 
 
 REL = "project string, from_entity string, to_entity string, relation_type string, confidence double, verified boolean, session_id string, origin_tool string, created_at string, qualifiers map<string,string>"
@@ -130,12 +130,12 @@ def test_verification(spark):
 
 def test_parsers(spark):
     p = lambda t: verify.parse_verdict(F.lit(t))
-    r = one(spark, a=p("GROUNDED CONFIDENCE: 0.9"), b=p("partial, confidence=0.5"), c=p(""), d=p("no idea"), e=verify.parse_conflict(F.lit("CONFLICT here")), f=verify.parse_conflict(F.lit("NO CONFLICT CONFIDENCE: 0.9")), g=verify.parse_conflict(F.lit(None).cast("string")))
+    r = one(spark, a=p("GROUNDED CONFIDENCE: 0.9"), b=p("partial, confidence: 0.5"), c=p(""), d=p("no idea"), e=verify.parse_conflict(F.lit("CONFLICT here")), f=verify.parse_conflict(F.lit("NO CONFLICT CONFIDENCE: 0.9")), g=verify.parse_conflict(F.lit(None).cast("string")))
     assert tuple(r.a) == ("GROUNDED", 0.9, True) and tuple(r.b) == ("PARTIAL", 0.3, True) and tuple(r.c) == ("REJECTED", 0.0, False) and r.d.verdict == "REJECTED"
     assert tuple(r.e) == (True, 0.7) and tuple(r.f) == (False, 0.9) and tuple(r.g) == (False, 0.5)
-    lines = spark.createDataFrame([(1, "- Night Gardener -[Prunes]→ Edges | CONFIDENCE: 0.8\nnoise\nA –[is part of]-> B")], "q int, answer string")
+    lines = spark.createDataFrame([(1, "- Garden Keeper --[Prunes]-> Edges | CONFIDENCE: 0.8\nnoise\nA –[is part of]–→ B confidence: 1.\nA -[x]-> B")], "q int, answer string")
     got = [tuple(x)[1:] for x in verify.parse_relation_lines(lines, ["q"]).orderBy("line").collect()]
-    assert got == [(0, "Night Gardener", "prunes", "Edges", 0.8), (2, "A", "is_part_of", "B", 0.5)]
+    assert got == [(0, "Garden Keeper", "prunes", "Edges", 0.8), (2, "A", "is part of", "B", 1.0)]
     asked = verify.ask_model(lines, "answer", lambda t: 1 / 0, "said").first()
     assert asked.said == ""
 
@@ -180,3 +180,23 @@ def test_components(spark):
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(e, "a int, b int"), "a", "b").collect()}
     assert got == {i: i // 10 * 10 for i in range(40)} | {40: 30} or math.prod(got[i] == i // 10 * 10 for i in range(40))
     assert components.connected_components(spark.createDataFrame([], "a int, b int"), "a", "b").count() == 0
+
+
+def test_extraction_and_chunks_match_plain_python(spark, data):
+    import re
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text}
+    got = {}
+    for r in extraction.surface_forms(docs, ["doc_id"]).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.name, r.type))
+    for d, t in texts.items():
+        phrases = [(p, "concept") for p in re.findall(extraction.PHRASE, t) if not set(p.lower().split()) & set(extraction.STOP_WORDS)]
+        names = phrases + [(n, "identifier") for n in re.findall(extraction.CAMEL, t)] + [(n, "code") for n in re.findall(extraction.BACKTICK, t)]
+        assert got.get(d, []) == [x for x in names if re.sub("[^a-z0-9]+", "", x[0].lower())]
+    chunks = {}
+    for r in chunking.chunk_documents(docs).orderBy("doc_id", "chunk_idx").collect():
+        chunks.setdefault(r.doc_id, []).append(r.text)
+    for d, t in texts.items():
+        parts = [s.strip() for s in re.split(r"(?m)^#{1,3}\s+", t) if s.strip()]
+        assert chunks.get(d, []) == [p for s in parts for p in ([s] if len(s) <= 1600 else chunking.window_cuts(s, 1600, 160))]
