@@ -36,6 +36,8 @@ TILE, ROWS = 2048, 256
 PIECE = 4096
 #: Bits of the smallest odd sketch, as a power of two; each level has twice as many.
 SKETCH_BITS = 8
+#: Bytes of a shingle's hash that sets are verified with; two different shingles agree in them with a chance of 2^-40.
+KEPT = 5
 
 
 def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -296,6 +298,17 @@ def _filter_bits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(used.astype("int32")), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["piece", "counts"])
 
 
+def _packed(sh: np.ndarray) -> bytes:
+    """The leading bytes of each hash, most significant first, in the order of the hashes."""
+    return sh.astype(">u8").view("uint8").reshape(-1, 8)[:, :KEPT].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // KEPT, 8), "uint8")
+    wide[:, :KEPT] = np.frombuffer(raw, "uint8").reshape(-1, KEPT)
+    return wide.view(">u8").ravel().astype("uint64")
+
+
 def _sets(wanted) -> Callable:
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value).view(bool)
@@ -304,9 +317,9 @@ def _sets(wanted) -> Callable:
             some = bits[(refs >> np.uint64(64 - FILTER_BITS)).astype("int64")] & (n > 0)
             first = np.zeros(len(n), bool)
             first[np.unique(refs, return_index=True)[1]] = True
-            at, raw = np.cumsum(n) - n, sh.tobytes()
+            at, raw = np.cumsum(n) - n, _packed(sh)
             take = np.flatnonzero(some & first)
-            yield pa.record_batch([pa.array(refs[take].view("int64")), pa.array([raw[8 * at[i] : 8 * (at[i] + n[i])] for i in take], pa.binary())], names=["ref", "sh"])
+            yield pa.record_batch([pa.array(refs[take].view("int64")), pa.array([raw[KEPT * at[i] : KEPT * (at[i] + n[i])] for i in take], pa.binary())], names=["ref", "sh"])
 
     return sets
 
@@ -314,9 +327,9 @@ def _sets(wanted) -> Callable:
 def _verify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose shingle sets have a similarity of at least NUM/DEN."""
     for b in source:
-        shared = [len(np.intersect1d(np.frombuffer(p, "uint64"), np.frombuffer(q, "uint64"), assume_unique=True)) for p, q in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
+        shared = [len(np.intersect1d(_unpacked(p), _unpacked(q), assume_unique=True)) for p, q in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
         shared = np.array(shared, "int64")
-        either = (np.array([len(p.as_buffer()) for p in b.column("sa")], "int64") + np.array([len(q.as_buffer()) for q in b.column("sb")], "int64")) // 8 - shared
+        either = (np.array([len(p.as_buffer()) for p in b.column("sa")], "int64") + np.array([len(q.as_buffer()) for q in b.column("sb")], "int64")) // KEPT - shared
         ok = shared * DEN >= either * NUM
         yield pa.record_batch([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array((shared / np.maximum(either, 1))[ok])], names=["a", "b", "similarity"])
 
