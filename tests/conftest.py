@@ -6,7 +6,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
-os.environ.setdefault("PYTHONPATH", str(ROOT))
+os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), *filter(None, [os.environ.get("PYTHONPATH")])])  # for the workers
 DATA = os.environ.get("LOREKEEP_DATA", "/root/testdata/sf0.001")
 
 
