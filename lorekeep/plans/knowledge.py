@@ -361,12 +361,12 @@ SELECT * FROM x UNION ALL SELECT DISTINCT query_id, t.project, t.term, i.id, fal
     "chunks_near_entity": f"WITH {_MENTIONS}, c AS (SELECT DISTINCT id, doc_id, chunk_idx FROM chunks) SELECT entity_id, chunk_id, doc_id, chunk_idx FROM m JOIN c ON c.id = chunk_id WHERE entity_id IN (SELECT id FROM entities WHERE type = 'org')",
     "graph_search": f"""WITH {_E}, {_ASKED}, {_BOTH.format(t="relations")}, {_HOPS}, {_MENTIONS}, near AS (SELECT * FROM h1 UNION ALL SELECT id, id, 0 FROM asked),
 b AS (SELECT seed, chunk_id, min(hop) AS hop FROM near JOIN m ON entity_id = node GROUP BY ALL)
-SELECT * FROM (SELECT seed, chunk_id, hop, row_number() OVER (PARTITION BY seed ORDER BY hop, chunk_id) AS rank FROM b) WHERE rank <= 10""",
+SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (SELECT seed, chunk_id, hop, row_number() OVER (PARTITION BY seed ORDER BY hop, chunk_id) AS rank FROM b) WHERE rank <= 10""",
     "fused_entity_search": f"""WITH {_E}, {_ASKED}, {_BOTH.format(t="relations")}, {_HOPS}, hh AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2), dg AS (SELECT to_entity AS node, count(*) AS deg FROM relations GROUP BY 1),
 a1 AS (SELECT * FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY hop, node) AS rank, 0 AS arm FROM hh) WHERE rank <= 50),
 a2 AS (SELECT * FROM (SELECT seed, node, row_number() OVER (PARTITION BY seed ORDER BY deg DESC, node) AS rank, 1 AS arm FROM hh JOIN dg USING (node)) WHERE rank <= 50),
 f AS (SELECT seed, node, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(arm) AS arm, arg_min(rank, arm) AS first FROM (SELECT * FROM a1 UNION ALL SELECT * FROM a2) GROUP BY seed, node)
-SELECT * FROM (SELECT seed, node, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, arm, first, node) AS rank FROM f) WHERE rank <= 10""",
+SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (SELECT seed, node, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, arm, first, node) AS rank FROM f) WHERE rank <= 10""",
     "ppr_transition": f"WITH {_TRANS} SELECT u, v, round(p, 6) AS p FROM p",
     "ppr_fixed_rounds": _ppr_sql(3),
     "edge_features": f"WITH {_FEAT} SELECT * FROM feat",

@@ -136,7 +136,7 @@ s AS (SELECT vec_id, c.label AS l, round({_COS.format(a="e", b="c")}, 6) AS s FR
 b AS (SELECT vec_id, l, s FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, l) = 1)"""
 
 SQL = {
-    "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, score, round(score / max(score) OVER (PARTITION BY query_id), 4) AS boost, rank FROM lex",
+    "bm25_topk": f"WITH {_BM25} SELECT query_id, doc_id, score, round(score / max(score) OVER (PARTITION BY query_id), 4) AS boost, CAST(rank AS INTEGER) AS rank FROM lex",
     "bm25_by_project": f"""WITH tok AS (SELECT doc_id, project, coalesce(len({_TOK.format(x="text")}), 0) AS dl, {_TOK.format(x="text")} AS t FROM documents WHERE project IS NOT NULL),
 corpus AS (SELECT project, count(*) AS n, avg(dl) AS avgdl FROM tok GROUP BY project),
 q AS (SELECT doc_id AS query_id, project, unnest({_TOK.format(x="split_part(text, chr(10), 1)")}) AS term FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL AND project IS NOT NULL),
@@ -145,19 +145,19 @@ post AS (SELECT doc_id, project, dl, term, count(*) AS tf FROM (SELECT doc_id, p
 df AS (SELECT project, term, count(*) AS df FROM post GROUP BY ALL),
 sc AS (SELECT query_id, project, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times), 6) AS score
        FROM post JOIN qt USING (project, term) JOIN df USING (project, term) JOIN corpus USING (project) GROUP BY query_id, project, doc_id)
-SELECT * FROM (SELECT query_id, project, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10""",
+SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (SELECT query_id, project, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0) WHERE rank <= 10""",
     "doc_term_stats": f"WITH {_BM25} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, corpus",
-    "doc_lengths": f"SELECT doc_id, coalesce(len({_TOK.format(x='text')}), 0) AS dl FROM documents",
-    "vector_topk": f"WITH {_DENSE} SELECT query_id, vec_id, similarity, rank FROM dense",
+    "doc_lengths": f"SELECT doc_id, CAST(coalesce(len({_TOK.format(x='text')}), 0) AS INTEGER) AS dl FROM documents",
+    "vector_topk": f"WITH {_DENSE} SELECT query_id, vec_id, similarity, CAST(rank AS INTEGER) AS rank FROM dense",
     "vector_topk_by_label": f"""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)
-SELECT * FROM (SELECT query_id, label, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
+SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (SELECT query_id, label, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
   (SELECT q.vec_id AS query_id, v.label, v.vec_id, round({_COS.format(a="v.e", b="q.e")}, 6) AS similarity FROM v JOIN v q ON v.label = q.label AND q.vec_id % 50 = 0)) WHERE rank <= 10""",
     "centroid_classify": f"WITH {_CLASS} SELECT vec_id, l AS predicted, s AS similarity FROM b",
     "planner_threshold": f"WITH {_CLASS} SELECT vec_id, CASE WHEN s >= 0.15 THEN l END AS predicted, s AS similarity FROM b",
     "truncated_vectors": """WITH v AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS e FROM embeddings)
 SELECT vec_id, unnest(range(len(e)))::INTEGER AS pos, round(unnest(e) / sqrt(list_dot_product(e, e)), 6) AS x FROM v""",
-    "hybrid_search": f"WITH {_FUSED} SELECT query_id, doc_id, score, rank FROM fused",
-    "hybrid_verified": f"""WITH {_FUSED} SELECT f.query_id, f.doc_id, f.rank, similarity,
+    "hybrid_search": f"WITH {_FUSED} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused",
+    "hybrid_verified": f"""WITH {_FUSED} SELECT f.query_id, f.doc_id, CAST(f.rank AS INTEGER) AS rank, similarity,
 CASE WHEN similarity >= 0.7 THEN 'accept' WHEN similarity IS NULL OR similarity < 0.3 THEN 'reject' ELSE 'ask' END AS bucket
 FROM fused f LEFT JOIN dense ON f.query_id = dense.query_id AND f.doc_id = dense.vec_id""",
     "search_context": f"""WITH {_FUSED} SELECT query_id, string_agg('[' || rank || '] Source: ' || coalesce(source, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
