@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of distinct three-word shingles. Texts of a project with equal sets form
    one class (``ref``, a 64-bit hash), so copies cost one row. A class carries its set size n and an
-   odd sketch of at least 3n bits: the parity of its shingles per bit. The exclusive-or of two sketches
+   odd sketch of at least 2n bits: the parity of its shingles per bit. The exclusive-or of two sketches
    is the sketch of the sets' symmetric difference, so its bit count never exceeds that difference.
 2. Blocks come from prefix filtering, which loses no pair: sets with a similarity of at least t share
    one of the first n - ceil(t n) + 1 shingles in any fixed order. Rare shingles come first, by a count
@@ -60,7 +60,7 @@ def _refs(sh: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _level(n: np.ndarray) -> np.ndarray:
     """Sketch level of a set size; sizes of similar sets differ by less than a factor of two, so by one level."""
-    return np.maximum(0, np.ceil(np.log2(np.maximum(3 * n, 1))).astype("int64") - SKETCH_BITS)
+    return np.maximum(0, np.ceil(np.log2(np.maximum(2 * n, 1))).astype("int64") - SKETCH_BITS)
 
 
 def _odd_sketches(sh: np.ndarray, n: np.ndarray) -> list[bytes]:
