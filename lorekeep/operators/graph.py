@@ -77,24 +77,30 @@ def k_hop(steps: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     return seen.where("hop > 0")
 
 
-def shortest_paths(steps: DataFrame, pairs: DataFrame, max_depth: int = 6) -> DataFrame:
+def shortest_paths(steps: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(source, target, found, length, path): a shortest path of each pair; of several the least as a list.
 
-    Breadth first from all sources at once: each level keeps the least path to every node met for the
-    first time. Pairs not met within ``max_depth`` have found = false. The search ends early when a
-    level meets nothing new.
+    Breadth first, at once from all sources or backwards from all targets, whichever are fewer: each level
+    keeps the least path of every node met for the first time. The search ends when a level meets nothing
+    new, so found = false stands for pairs that no path connects (within ``max_depth``, if given).
     """
-    front = pairs.select("source").distinct().select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    seen = materialise(front, "path")
-    front = seen
-    for _ in range(max_depth):
-        reached = front.join(steps, front.node == steps.u).select("source", F.col("v").alias("node"), F.concat("path", F.array("v")).alias("path"))
-        fresh = reached.join(seen, ["source", "node"], "left_anti").groupBy("source", "node").agg(F.min("path").alias("path"))
+    sides = pairs.agg(F.count_distinct("source").alias("s"), F.count_distinct("target").alias("t")).first()
+    root, other = ("source", "target") if sides.s <= sides.t else ("target", "source")
+    at, to = ("u", "v") if root == "source" else ("v", "u")
+    longer = F.concat("path", F.array(to)) if root == "source" else F.concat(F.array(to), F.col("path"))
+    front = materialise(pairs.select(root).distinct().select(root, F.col(root).alias("node"), F.array(root).alias("path")), "path")
+    seen, depth = front, 0
+    while max_depth is None or depth < max_depth:
+        reached = front.join(steps, front.node == steps[at]).select(root, F.col(to).alias("node"), longer.alias("path"))
+        fresh = reached.join(seen, [root, "node"], "left_anti").groupBy(root, "node").agg(F.min("path").alias("path"))
         front = materialise(fresh, "path")
         if front.isEmpty():
             break
+        depth += 1
         seen = seen.union(front)
-    met = pairs.join(seen.withColumnRenamed("node", "target"), ["source", "target"], "left")
+        if depth % 16 == 0:  # keeps the plan short
+            seen = materialise(seen, "path")
+    met = pairs.join(seen.withColumnRenamed("node", other), ["source", "target"], "left")
     return met.select("source", "target", F.col("path").isNotNull().alias("found"), F.coalesce(F.size("path") - 1, F.lit(-1)).alias("length"), "path")
 
 

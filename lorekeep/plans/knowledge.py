@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import canonical_key, entity_id, fingerprint, note_doc_id
 from lorekeep.operators import chunking, edges, extraction, fusion, graph, learn, pagerank, verify
 from lorekeep.sources import files
-from lorekeep.sources.tables import table
+from lorekeep.sources.tables import materialise, table
 
 AS_OF = "2025-06-01"
 FUNCTIONAL = ["located_in", "reports_to", "member_of"]
@@ -127,7 +127,7 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     r = _rel(spark, d)
     least = r.groupBy("project").agg(F.min("from_entity").alias("target"))
     pairs = _asked(spark, d).join(least, "project").select(F.col("id").alias("source"), "target").where("source <> target")
-    p = graph.shortest_paths(graph.adjacency(r), pairs, 3)
+    p = graph.shortest_paths(materialise(graph.adjacency(r), "steps"), materialise(pairs, "pairs"))
     return p.select("source", "target", "found", "length", F.array_join("path", ">").alias("path"))
 
 

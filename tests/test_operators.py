@@ -104,6 +104,46 @@ def test_shortest_path(spark):
     assert got == {("a", "e"): (True, 2, ["a", "d", "e"]), ("a", "y"): (False, -1, None), ("b", "d"): (True, 2, ["b", "a", "d"])}
 
 
+def _brute_paths(steps, pairs):
+    """Least shortest path of each pair, level by level in plain Python."""
+    out, after = {}, {}
+    for u, v in steps:
+        after.setdefault(u, set()).add(v)
+    for s, t in pairs:
+        seen, front = {s: (s,)}, {s: (s,)}
+        while front:
+            new = {}
+            for u, p in front.items():
+                for v in after.get(u, ()):
+                    if v not in seen:
+                        new[v] = min(new.get(v, (*p, v)), (*p, v))
+            seen |= new
+            front = new
+        out[s, t] = seen.get(t)
+    return out
+
+
+@pytest.mark.parametrize("direction", ["both", "outgoing"])
+def test_shortest_path_has_no_depth_limit(spark, direction):
+    chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(8)]
+    steps = graph.adjacency(spark.createDataFrame([rel(a, b) for a, b in [*chain, ("n00", "m"), ("m", "n02"), ("q", "z")]], REL), direction)
+    known = [tuple(r) for r in steps.collect()]
+    for asked in ([("n00", "n08"), ("n03", "n08"), ("n00", "n02"), ("q", "n08")], [("n00", "n08"), ("n00", "n07"), ("n00", "n02"), ("n00", "z")]):  # few targets, few sources
+        got = {(r.source, r.target): r.path and tuple(r.path) for r in graph.shortest_paths(steps, spark.createDataFrame(asked, "source string, target string")).collect()}
+        assert got == _brute_paths(known, asked)
+        assert len(got["n00", "n08"]) == 9
+
+
+def test_shortest_path_query_meets_far_pairs(spark, tmp_path):
+    from lorekeep.plans.knowledge import shortest_path
+
+    ids = [f"{50 * i:012x}" for i in range(1, 10)]
+    spark.createDataFrame([rel(a, b) for a, b in zip(ids, ids[1:])], REL).write.parquet(str(tmp_path / "relations.parquet"))
+    spark.createDataFrame([(i, f"n {i}", "concept", "p") for i in ids], "id string, name string, type string, project string").write.parquet(str(tmp_path / "entities.parquet"))
+    got = {r.source: (r.found, r.length) for r in shortest_path(spark, str(tmp_path)).collect()}
+    assert got == {x: (True, i) for i, x in enumerate(ids) if i}
+
+
 def test_pagerank_chain(spark):
     df = spark.createDataFrame([rel(a, b, c=1.0) for a, b in ("ab", "bc", "cd")], REL)
     nodes = spark.createDataFrame([(x,) for x in "abcd"], "node string")
