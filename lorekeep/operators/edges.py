@@ -52,7 +52,7 @@ def edge_features(pairs: DataFrame) -> DataFrame:
     )
 
 
-def logistic(weights: dict[str, float], intercept: float) -> Column:
+def logistic(weights: dict[str, float | Column], intercept: float | Column) -> Column:
     """Logistic score of feature columns, its argument clamped to +-60, to four places."""
     z = F.lit(intercept)
     for name, w in weights.items():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import canonical_key, entity_id, fingerprint, note_doc_id
@@ -211,9 +211,49 @@ def spurious_edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spurious_edges_learned(spark: SparkSession, d: str) -> DataFrame:
+    """The logistic form with stated weights, as its SQL has them; ``spurious_edges_trained`` fits its own."""
     return edges.spurious(_features(spark, d), {"heuristic": 2.0, "jaccard": -1.5, "common": -1.0, "deg_u": 0.4, "deg_v": 0.4, "hub": 0.5}, -0.8).select("a", "b", "spuriousness", "suggested")
 
 
+def _drawn(*keys: str) -> Column:
+    """A hash-drawn fifth of the rows."""
+    return F.pmod(F.xxhash64(*keys), F.lit(5)) == 0
+
+
+def _edge_labels(spark: SparkSession, d: str) -> DataFrame:
+    """(project, a, b, label): edges to prune (1) have only refused relations, edges to keep (0) a verified one."""
+    r = _rel(spark, d).where("verified is not null and from_entity <> to_entity")
+    return r.groupBy("project", F.least("from_entity", "to_entity").alias("a"), F.greatest("from_entity", "to_entity").alias("b")).agg((~F.bool_or("verified")).cast("int").alias("label"))
+
+
+def _edge_models(spark: SparkSession, d: str, features: DataFrame) -> DataFrame:
+    rows = _edge_labels(spark, d).join(features, ["a", "b"])
+    return learn.calibrate_groups(rows, "project", edges.FEATURES, "label", _drawn("project", "a", "b"), least=20)
+
+
+def _named(models: DataFrame, features: list[str]) -> DataFrame:
+    """(project, name, value): the numbers of each project's fit; projects without one have their row counts only."""
+    parts = [(f, F.col("weights")[i]) for i, f in enumerate(features)] + [(n, F.col(c)) for n, c in (("intercept", "intercept"), ("train_loss", "loss"), ("auc", "auc"), ("n_train", "n_train"), ("n_test", "n_test"))]
+    rows = models.select("project", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.round(c.cast("double"), 6).alias("value")) for n, c in parts])).alias("r"))
+    return rows.select("project", "r.name", "r.value").where("value is not null")
+
+
+def edge_scorer(spark: SparkSession, d: str) -> DataFrame:
+    """Learned weights of the edge scorer of each project, from edges labelled by their relations."""
+    return _named(_edge_models(spark, d, _features(spark, d)), edges.FEATURES)
+
+
+def spurious_edges_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of each project scored by its learned weights; by the heuristic where a project has no fit."""
+    f = materialise(_features(spark, d), "features")
+    m = _edge_models(spark, d, f).select(F.col("project").alias("_p"), "weights", "intercept")
+    of = _rel(spark, d).select("project", F.least("from_entity", "to_entity").alias("a"), F.greatest("from_entity", "to_entity").alias("b")).distinct()
+    rows = of.join(f, ["a", "b"]).join(m, F.col("project").eqNullSafe(F.col("_p")), "left")
+    score = edges.logistic({n: F.col("weights")[i] for i, n in enumerate(edges.FEATURES)}, F.col("intercept"))
+    s = F.when(F.col("weights").isNotNull(), score).otherwise(F.col("heuristic"))
+    return rows.select("project", "a", "b", s.alias("spuriousness"), F.col("weights").isNotNull().alias("learned")).withColumn("suggested", F.col("spuriousness") >= edges.SPURIOUS)
+
+
 def prune_isolated(spark: SparkSession, d: str) -> DataFrame:
     r = _rel(spark, d)
     return edges.isolated_entities(_ent(spark, d), r, graph.evidence_mentions(r), _ent(spark, d).where("type = 'tool'").select("id")).select("id", "name", "project")
@@ -262,11 +302,10 @@ def relation_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def calibrated_scorer(spark: SparkSession, d: str) -> DataFrame:
-    """Learned weights of the relation scorer, from verified and unverified relations."""
+    """Learned weights of the relation scorer of each project, from verified and unverified relations."""
     rows = _scored(spark, d).where("verified is not null").withColumn("label", F.col("verified").cast("int"))
-    model = learn.calibrate(rows, ["base", "jaccard", "type_boost", "isolated"], "label", rounds=20)
-    parts = [*(model or {"weights": {}})["weights"].items(), *([("intercept", model["intercept"]), ("n", float(model["n"]))] if model else [])]
-    return spark.createDataFrame([(k, round(float(v), 6)) for k, v in parts], "name string, value double")
+    features = ["base", "jaccard", "type_boost", "isolated"]
+    return _named(learn.calibrate_groups(rows, "project", features, "label", _drawn(*_KEY)), features)
 
 
 QUERIES = {
@@ -274,7 +313,7 @@ QUERIES = {
     for f in (
         document_ids, pending_documents, relation_insert_ignore, reconstruct_document, chunk_documents, extract_entities, document_mentions, entity_registry, entity_ids, relation_upsert, entity_upsert, delete_relation, delete_entity, khop_1, khop_2, khop_outgoing, asof_neighbors,
         shortest_path, asof_facts, supersede_facts, adjust_confidence, entity_term_lookup, chunks_near_entity, graph_search, fused_entity_search, ppr_transition, ppr_fixed_rounds, ppr_topk, edge_features, spurious_edges,
-        spurious_edges_learned, prune_isolated, review_queue, relation_scores, verification_cap, verdict_parse, relation_lines, calibrated_scorer,
+        spurious_edges_learned, prune_isolated, review_queue, relation_scores, verification_cap, verdict_parse, relation_lines, calibrated_scorer, edge_scorer, spurious_edges_trained,
     )
 }
 

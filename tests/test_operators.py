@@ -240,3 +240,48 @@ def test_extraction_and_chunks_match_plain_python(spark, data):
     for d, t in texts.items():
         parts = [s.strip() for s in re.split(r"(?m)^#{1,3}\s+", t) if s.strip()]
         assert chunks.get(d, []) == [p for s in parts for p in ([s] if len(s) <= 1600 else chunking.window_cuts(s, 1600, 160))]
+
+
+def test_calibrate_groups(spark):
+    import random
+
+    draw, rows = random.Random(5), []
+    for i in range(400):
+        x, z, g = draw.random(), round(draw.random(), 1), ("p", "q")[i % 2]
+        rows.append((g, i, round(x, 2), z, int(x + draw.gauss(0, 0.3) > 0.5) if g == "p" else int(z < 0.5), i % 5 == 0))
+    rows += [("few", 1000 + i, 0.5, 0.5, i % 2, False) for i in range(20)] + [("one", 2000 + i, 0.5, 0.5, 1, i == 0) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, z double, y int, t boolean")
+
+    def plain(g, rounds):
+        train = [r for r in rows if r[0] == g and not r[5]]
+        n, w, b, loss = len(train), [0.0, 0.0], 0.0, 0.0
+        for _ in range(rounds):
+            p = [1 / (1 + math.exp(-(w[0] * r[2] + w[1] * r[3] + b))) for r in train]
+            loss = -sum(math.log((q if r[4] else 1 - q) + 1e-12) for q, r in zip(p, train)) / n + 0.5 * (w[0] ** 2 + w[1] ** 2) / n
+            step = [sum((q - r[4]) * r[k] for q, r in zip(p, train)) / n + w[k - 2] / n for k in (2, 3)]
+            b -= 0.1 * sum(q - r[4] for q, r in zip(p, train)) / n
+            w = [w[k] - 0.1 * step[k] for k in (0, 1)]
+        tested = [(w[0] * r[2] + w[1] * r[3], r[4]) for r in rows if r[0] == g and r[5]]
+        pos, neg = [s for s, y in tested if y], [s for s, y in tested if not y]
+        area = sum((a > c) + (a == c) / 2 for a in pos for c in neg) / (len(pos) * len(neg))
+        return pytest.approx((160, 40, *w, b, loss, area), abs=1e-6)
+
+    for rounds, task_rows in ((500, learn.TASK_ROWS), (3, 0)):
+        got = {r.g: r for r in learn.calibrate_groups(df, "g", ["x", "z"], "y", F.col("t"), *([] if rounds == 500 else [rounds]), task_rows=task_rows).collect()}
+        for g in "pq":
+            r = got[g]
+            assert (r.n_train, r.n_test, *r.weights, r.intercept, r.loss, r.auc) == plain(g, rounds)
+        assert [(got[g].n_train, got[g].n_test, got[g].weights, got[g].auc) for g in ("few", "one")] == [(20, 0, None, None), (59, 1, None, None)]
+
+
+def test_edge_scorer_learns_from_labels(spark, tmp_path):
+    from lorekeep.plans import knowledge
+
+    hub = [rel("hub", f"h{i:02}", v=False) for i in range(40)]
+    tri = [rel(f"t{i:02}{a}", f"t{i:02}{b}", v=True) for i in range(20) for a, b in ("ab", "bc", "ac")]
+    spark.createDataFrame([*hub, *tri, ("q", "m", "n", "uses", 0.5, True, "s", "tool", "1", None)], REL).write.parquet(str(tmp_path / "relations.parquet"))
+    value = {(r.project, r.name): r.value for r in knowledge.edge_scorer(spark, str(tmp_path)).collect()}
+    assert value["p", "auc"] == 1 and value["p", "jaccard"] < 0 < value["p", "hub"] and value["p", "n_train"] + value["p", "n_test"] == 100
+    assert {n for p, n in value if p == "q"} == {"n_train", "n_test"}
+    got = {(r.project, r.a): (r.spuriousness > 0.5, r.learned) for r in knowledge.spurious_edges_trained(spark, str(tmp_path)).collect()}
+    assert got["p", "h00"] == (True, True) and got["p", "t00a"] == (False, True) and got["q", "m"] == (True, False)
