@@ -143,15 +143,35 @@ def facts_at(relations: DataFrame, entities: DataFrame | None, as_of: str, direc
     return out.withColumn("is_current", F.col("valid_to") == "")
 
 
+def _next_other(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``head``, whether a row's target differs from the row before by (start, to_entity), and
+    ``next``, the start of the first later row with another target than the row's own."""
+    w = Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("to_entity"))
+    flagged = facts.withColumn("head", ~F.lead("to_entity").over(w).eqNullSafe(F.col("to_entity")))
+    return flagged.withColumn("next", F.last(F.when(F.col("head"), F.col("start")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+
+
 def supersede(relations: DataFrame, functional: list[str]) -> DataFrame:
     """Adds ``closed_at``: where a later relation of one subject and functional type has another target,
-    the earlier, still open one ends when the later begins."""
+    the earlier, still open one ends when the first such relation begins; repeats of its own target
+    between them change nothing.
+
+    Repeated observations count once. Windows hold one day of a subject; days pass on to each other the
+    heads of their first two and their last run of one target only.
+    """
     start, _ = validity_bounds(F.col("qualifiers"))
     rows = relations.where(F.col("relation_type").isin(functional)).withColumn("start", F.when(start != "", start).otherwise(F.coalesce("created_at", F.lit(""))))
-    w = Window.partitionBy("project", "from_entity", "relation_type").orderBy("start", "to_entity")
-    later = rows.withColumn("next_target", F.lead("to_entity").over(w)).withColumn("next_start", F.lead("start").over(w))
-    open_ = F.coalesce(F.try_element_at("qualifiers", F.lit("valid_to")), F.lit("")) == ""
-    return later.withColumn("closed_at", F.when(open_ & (F.col("next_target") != F.col("to_entity")), F.col("next_start")))
+    subject = ["project", "from_entity", "relation_type"]
+    facts = rows.where("to_entity is not null").select(*subject, "to_entity", "start").distinct().withColumn("day", F.substring("start", 1, 10))
+    w = Window.partitionBy(*subject, "day").orderBy("start", "to_entity")
+    days = _next_other(facts, [*subject, "day"]).withColumn("run", F.sum(F.col("head").cast("int")).over(w))
+    days = materialise(days, "days")
+    heads = days.where("head and (run <= 2 or next is null)").withColumn("tail", F.col("next").isNull()).drop("next", "head", "run")
+    after = _next_other(heads, subject).where("tail").select(*subject, "day", F.col("next").alias("later"))
+    same = lambda x, y, cols: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in cols]
+    ends = days.alias("d").join(after.alias("a"), same("d", "a", [*subject, "day"]), "left").select(*[f"d.{c}" for c in [*subject, "to_entity", "start"]], F.coalesce("d.next", "a.later").alias("end"))
+    open_ = F.coalesce(F.try_element_at("r.qualifiers", F.lit("valid_to")), F.lit("")) == ""
+    return rows.alias("r").join(ends.alias("e"), same("r", "e", [*subject, "to_entity", "start"]), "left").select("r.*", F.when(open_, F.col("e.end")).alias("closed_at"))
 
 
 def adjust_confidence(relations: DataFrame, deltas: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:

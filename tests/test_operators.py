@@ -123,6 +123,22 @@ def _brute_paths(steps, pairs):
     return out
 
 
+def test_supersede_closes_repeated_facts(spark):
+    import random
+
+    draw = random.Random(3)
+    rows = [rel("a", x, "located_in", at=f"{y}-01-01") for x, y in (("x", 2020), ("x", 2021), ("y", 2022))]
+    rows += [rel(f"s{i % 3}", draw.choice("xyz" if i % 3 else "xxxxxy"), "located_in", at=f"2026-01-{draw.randint(1, 9):02}T0{draw.randint(0, 4)}:00:00Z", q=draw.choice([None, None, {"valid_to": "2027"}])) for i in range(120)]
+
+    def closed(r):
+        later = [(o[8], o[2]) for o in rows if o[1] == r[1] and (o[8], o[2]) > (r[8], r[2]) and o[2] != r[2]]
+        return min(later)[0] if later and not r[9] else None
+
+    got = [(r.from_entity, r.to_entity, r.created_at, r.closed_at) for r in graph.supersede(spark.createDataFrame(rows, REL), ["located_in"]).collect()]
+    assert sorted(got, key=repr) == sorted(((r[1], r[2], r[8], closed(r)) for r in rows), key=repr)
+    assert [g[3] for g in sorted(got, key=repr)[:3]] == ["2022-01-01", "2022-01-01", None]
+
+
 @pytest.mark.parametrize("direction", ["both", "outgoing"])
 def test_shortest_path_has_no_depth_limit(spark, direction):
     chain = [(f"n{i:02}", f"n{i + 1:02}") for i in range(8)]
