@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.sources.tables import materialise
+from lorekeep.sources.tables import free, materialise
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): each node of ``edges`` with the least node id of its component.
 
     Null ends, loops and repeated edges are ignored; nodes without an edge do not appear. Every round
-    is written to the shared folder; the rounds end when a round leaves the edges as they were. Only
-    two sums per round reach the driver.
+    is written to the shared folder and the one before it deleted; the rounds end when a round leaves the
+    edges as they were. Only two sums per round reach the driver.
     """
     e = edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).distinct()
     e = materialise(e, "cc")
     seen = _mark(e)
     while True:
-        e = materialise(_small_star(_large_star(e)), "cc")
+        last, e = e, materialise(_small_star(_large_star(e)), "cc")
+        free(last)
         now = _mark(e)
         if now == seen:
             break

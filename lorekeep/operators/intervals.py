@@ -2,9 +2,9 @@
 
 The aggregate's state is a sorted list of disjoint [start, end] seconds. A list belongs to one key and
 one time shard (2^20 seconds, some 12 days, by an interval's start), so it never holds more than half a
-million entries, however many rows a key has. Partial lists are made inside each input batch, merged
-per (key, shard, salt) and then per (key, shard); the last level of the tree passes only each shard's
-greatest end on to the key's later shards.
+million entries, however many rows a key has. Partial lists are made inside each input batch and merged
+by a reduction tree over the input partitions, at most FAN_IN partitions a step; at its root only each
+shard's greatest end passes on to the key's later shards.
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lorekeep.functions.time import seconds_text, utc_seconds
+from lorekeep.operators.reduction import parent, tree_depth
 
 #: First and last second that can be written as a date; they stand for an open bound.
 FIRST, LAST = -62135596800, 253402300799
 SHARD_BITS = 20
-SALTS = 16
 SPAN = 1 << 39
 LISTS = "starts array<bigint>, ends array<bigint>"
 
@@ -80,7 +80,8 @@ def disjoint_lists(rows: DataFrame, keys: list[str]) -> DataFrame:
     ``rows`` holds the keys and bigint ``s <= e`` within FIRST..LAST. Null keys form a group of
     their own. Rows repeated or nested change nothing.
     """
-    by = [*keys, "shard", "salt"]
+    at = [*keys, "shard"]
+    by = [*at, "part"]
 
     def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -89,13 +90,14 @@ def disjoint_lists(rows: DataFrame, keys: list[str]) -> DataFrame:
                 firsts = b[by].iloc[np.unique(codes, return_index=True)[1]].reset_index(drop=True)
                 yield _lists(firsts, *union_runs(codes, b["s"].to_numpy(), b["e"].to_numpy()))
 
-    cut = rows.select(*keys, F.shiftright("s", SHARD_BITS).cast("int").alias("shard"), (F.spark_partition_id() % SALTS).alias("salt"), "s", "e")
+    shard = F.shiftright("s", SHARD_BITS).cast("int").alias("shard")
+    cut = rows.select(*keys, shard, F.spark_partition_id().alias("part"), "s", "e")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name in by)
     state = cut.mapInPandas(combine, f"{schema}, {LISTS}")
-    for level in (by, by[:-1]):
-        both = state.groupBy(*level).agg(F.flatten(F.collect_list("starts")).alias("starts"), F.flatten(F.collect_list("ends")).alias("ends"))
-        state = both.select(*level, merge_lists("starts", "ends").alias("m")).select(*level, "m.*")
-    return state
+    for _ in range(tree_depth(rows)):
+        both = state.groupBy(*at, parent()).agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")])
+        state = both.select(*by, merge_lists("starts", "ends").alias("m")).select(*by, "m.*")
+    return state.drop("part")
 
 
 _MARKS = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("gap_from", "gap_to", "begun", "closed")])
@@ -148,10 +150,14 @@ def periods(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys..., period_from, period_to): the continuous periods; null means open on that side."""
     at = [*keys, "shard"]
     marks = shard_marks(disjoint_lists(rows, keys), keys)
-    later = Window.partitionBy(*keys).orderBy("shard").rowsBetween(1, Window.unboundedFollowing)
-    whole = Window.partitionBy(*keys)
-    ends = marks.select(*at, F.get("gap_from", F.lit(0)).alias("g"), "top").select(*at, F.coalesce(F.min("g").over(later) - 1, F.max("top").over(whole)).alias("final"))
-    both = _same(marks.where(F.size("begun") > 0), ends, at).select(*[F.col(f"a.{c}").alias(c) for c in keys], "a.begun", F.concat("a.closed", F.array("b.final")).alias("closed"))
+    # from the last shard backwards, so that the next gap and the greatest end are running values
+    later = Window.partitionBy(*keys).orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy(F.desc("shard")).rowsBetween(Window.unboundedPreceding, 0)
+    first = marks.select(*at, F.get("gap_from", F.lit(0)).alias("g"), "top")
+    ends = first.select(*at, F.coalesce(F.min("g").over(later) - 1, F.max("top").over(upto)).alias("final"))
+    both = _same(marks.where(F.size("begun") > 0), ends, at)
+    closed = F.concat("a.closed", F.array("b.final")).alias("closed")
+    both = both.select(*[F.col(f"a.{c}").alias(c) for c in keys], "a.begun", closed)
     each = both.select(*keys, F.explode(F.arrays_zip("begun", "closed")).alias("p"))
     return each.select(
         *keys,

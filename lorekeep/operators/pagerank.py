@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.sources.tables import materialise
+from lorekeep.sources.tables import free, materialise
 
 ALPHA, TOLERANCE, MAX_ROUNDS = 0.5, 1e-4, 50
 
@@ -46,6 +46,7 @@ def personalised_pagerank(steps: DataFrame, nodes: DataFrame, seeds: DataFrame,
         if rounds is None:
             new = materialise(new, "ppr")
             gone = new.join(r.withColumnRenamed("score", "old"), "node").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+            free(r)
             r = new
             if (gone or 0.0) < TOLERANCE:
                 break

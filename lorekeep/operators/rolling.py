@@ -4,13 +4,17 @@ Calls are reduced to one leaf per entity and day. Each leaf adds to its ancestor
 over blocks of 64 aligned days (a time shard); a node is a row (entity, level, idx) that holds the
 sums and counts of days idx*2^level ... (idx+1)*2^level-1. A trailing period is answered from at most
 two nodes per level, and a late correction touches only the ancestors of its own day.
+
+A stored tree is a folder of Parquet files, split by time shard. Sums are additive, so a correction is
+written as one small row for each ancestor of its day and nothing else is read or rewritten; ``read_nodes``
+adds the rows of a node up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.functions.time import day_text, utc_day
@@ -18,6 +22,7 @@ from lorekeep.functions.time import day_text, utc_day
 #: Levels 0 (a day) to 6 (a shard of 64 days).
 TOP = 6
 SUMS = ["calls", "injected", "n_injected", "baseline", "n_baseline"]
+_STORED = "project string, level int, idx int, " + ", ".join(f"{c} bigint" for c in SUMS)
 
 
 def daily_leaves(events: DataFrame) -> DataFrame:
@@ -55,18 +60,24 @@ def segment_nodes(leaves: DataFrame) -> DataFrame:
     )
 
 
-def apply_corrections(nodes: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Nodes after late calls: ``corrections`` are leaves (negative sums take calls away).
+def write_nodes(nodes: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Store nodes below ``path``, split by time shard (``mode`` as of DataFrameWriter)."""
+    rows = nodes.select("*", F.expr(f"shiftright(shiftleft(idx, level), {TOP})").alias("shard"))
+    rows.repartition("shard", F.pmod(F.hash("project"), F.lit(8))).write.mode(mode).partitionBy("shard").parquet(path)
+
+
+def apply_corrections(path: str, corrections: DataFrame) -> None:
+    """Add late calls to the stored tree: ``corrections`` are leaves (negative sums take calls away).
 
-    Only the ancestors of the corrected days get new sums; every other node passes through.
+    Only the ancestors of the corrected days are written, one row each.
     """
-    return merge_nodes(nodes, segment_nodes(corrections))
+    write_nodes(segment_nodes(corrections), path, "append")
 
 
-def merge_nodes(nodes: DataFrame, touched: DataFrame) -> DataFrame:
-    """Sums of two node tables; nodes of one table only pass through."""
-    joined = nodes.alias("n").join(touched.alias("t"), ["project", "level", "idx"], "full_outer")
-    return joined.select("project", "level", "idx", *[(F.coalesce(F.col(f"n.{c}"), F.lit(0)) + F.coalesce(F.col(f"t.{c}"), F.lit(0))).alias(c) for c in SUMS])
+def read_nodes(spark: SparkSession, path: str) -> DataFrame:
+    """The nodes of a stored tree, corrections included."""
+    rows = spark.read.schema(_STORED).parquet(path)
+    return rows.groupBy("project", "level", "idx").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
 def _up(day: Column, level: Column) -> Column:
@@ -114,5 +125,19 @@ def rolling_totals(nodes: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFr
 
 
 def silent_days(nodes: DataFrame) -> DataFrame:
-    """(project, day): days without any call between a project's first and last day with one."""
-    return rolling_totals(nodes, (1,)).where(F.col("calls_1d") == 0).select("project", "day")
+    """(project, day): days without any call between a project's first and last day with one.
+
+    The tree is descended from its shards: a node without calls is silent as a whole, of a node with
+    calls the children are asked. So a silent stretch costs one row for each node that tiles it.
+    """
+    live = nodes.where(F.col("calls") > 0).select("project", "level", "idx")
+    span = live.where("level = 0").groupBy("project").agg(F.min("idx").alias("a"), F.max("idx").alias("b"))
+    tops = F.sequence(F.shiftright("a", TOP), F.shiftright("b", TOP))
+    asked = span.select("project", F.lit(TOP).alias("level"), F.explode(tops).alias("idx"))
+    halves = F.array(F.col("idx") * 2, F.col("idx") * 2 + 1)
+    below = live.where("level > 0").select("project", (F.col("level") - 1).alias("level"), F.explode(halves).alias("idx"))
+    silent = asked.union(below).join(live, ["project", "level", "idx"], "left_anti").join(span, "project")
+    low = F.greatest("a", F.expr("shiftleft(idx, level)"))
+    high = F.least("b", F.expr("shiftleft(idx + 1, level) - 1"))
+    inside = silent.select("project", low.alias("low"), high.alias("high")).where("low <= high")
+    return inside.select("project", F.explode(F.sequence("low", "high")).alias("day")).select("project", day_text(F.col("day")).alias("day"))

@@ -10,7 +10,6 @@ from pyspark.sql.streaming import StreamingQuery
 from lorekeep.functions.time import utc_seconds
 from lorekeep.operators import rolling
 from lorekeep.operators.chunking import chunk_documents
-from lorekeep.sources.tables import materialise
 
 EVENTS = "id bigint, ts string, project string, tool_name string, session_id string, llm_preset string, tokens_injected int, tokens_baseline int, vog_score double, chunks_total int, chunks_rejected_srmkg int, chunks_rejected_vog int, cross_project_hit int, latency_ms int, was_hallucination_blocked int, metadata_json string"
 
@@ -41,17 +40,19 @@ def ingest_notes(spark: SparkSession, path: str, out: str, checkpoint: str) -> S
 
 
 def keep_rolling_nodes(events: DataFrame, nodes_path: str, checkpoint: str) -> StreamingQuery:
-    """Keep segment-tree nodes current: each micro-batch corrects only the ancestors of its days.
+    """Keep a stored segment tree current: each micro-batch writes only the ancestors of its days.
 
-    A batch's nodes are written under its own number, so a batch that runs twice writes the same; ids
-    are made distinct within the stream's watermark of 10 days.
+    A batch's rows go to a folder of its own number, so a batch that runs twice writes the same; ids
+    are made distinct within the stream's watermark of 10 days. ``rolling_nodes`` reads the tree.
     """
     once = events.where("at is not null").withWatermark("at", "10 days").dropDuplicatesWithinWatermark(["id"])
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        changed = rolling.segment_nodes(rolling.daily_leaves(batch))
-        nodes = changed if number == 0 else rolling.merge_nodes(spark.read.parquet(f"{nodes_path}/{number - 1}"), changed)
-        materialise(nodes, "nodes").write.mode("overwrite").parquet(f"{nodes_path}/{number}")
+    def add(batch: DataFrame, number: int) -> None:
+        rolling.write_nodes(rolling.segment_nodes(rolling.daily_leaves(batch)), f"{nodes_path}/batch={number}", "overwrite")
 
-    return once.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rolling_nodes(spark: SparkSession, nodes_path: str) -> DataFrame:
+    """The nodes of the tree that ``keep_rolling_nodes`` stores."""
+    return rolling.read_nodes(spark, nodes_path)

@@ -41,13 +41,27 @@ def test_brute_force(spark):
     assert not got
 
 
-def test_corrections_equal_a_rebuild(spark):
+def test_corrections_write_ancestors_only_and_equal_a_rebuild(spark, tmp_path):
     early = [(i, f"2026-01-{1 + i % 9:02d}T10:00:00Z", "a", i, 1) for i in range(20)]
-    late = [(100 + i, f"2026-01-{1 + i:02d}T10:00:00Z", "a", 3, None) for i in range(4)]
-    fixed = rolling.apply_corrections(nodes(table(spark, early)), rolling.daily_leaves(table(spark, late)))
+    late = [(100 + i, f"2026-01-{1 + i:02d}T10:00:00Z", "a", 3, None) for i in range(2)]
+    path = str(tmp_path / "tree")
+    rolling.write_nodes(nodes(table(spark, early)), path)
+    stored = spark.read.parquet(path).count()
+    rolling.apply_corrections(path, rolling.daily_leaves(table(spark, late)))
+    day = dt.date(2026, 1, 1).toordinal() - dt.date(1970, 1, 1).toordinal()
+    ancestors = {(level, (day + k) >> level) for k in range(2) for level in range(rolling.TOP + 1)}
+    assert spark.read.parquet(path).count() - stored == len(ancestors)
     whole = nodes(table(spark, early + late))
     key = ["project", "level", "idx", *rolling.SUMS]
+    fixed = rolling.read_nodes(spark, path)
     assert sorted(map(tuple, fixed.select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
+    # calls taken away leave silent days behind
+    rolling.apply_corrections(path, rolling.daily_leaves(table(spark, early)).where("day % 3 = 0").select("project", "day", *[(-F.col(c)).alias(c) for c in rolling.SUMS]))
+    again = rolling.read_nodes(spark, path)
+    silent = {r.day for r in rolling.silent_days(again).collect()}
+    live = {(dt.date(1970, 1, 1) + dt.timedelta(days=r.idx)).isoformat() for r in again.where("level = 0 and calls > 0").collect()}
+    span = [dt.date.fromisoformat(min(live)) + dt.timedelta(days=i) for i in range(9)]
+    assert silent == {d.isoformat() for d in span if d.isoformat() < max(live)} - live and silent
 
 
 def test_nulls_and_unreadable(spark):
