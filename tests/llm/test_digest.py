@@ -24,6 +24,16 @@ def test_ranks_are_certified(spark):
         assert abs(max(low - r.quantile, r.quantile - high, 0) - r.rank_error) < 1e-6
 
 
+def test_bound_is_kept_by_finer_digests(spark):
+    rnd = random.Random(4)
+    rows = [(i, "a" if i % 3 else "b", "p", int(rnd.lognormvariate(12, 2))) for i in range(6000)]
+    values = digest.measured(table(spark, rows))
+    got = digest.percentiles(values, ["tool_name", "project"], (0.25, 0.5, 0.9), bound=0.0005, delta=8).collect()
+    assert len(got) == 3 * (2 + 1 + 2) and max(r.rank_error for r in got) <= 0.0005
+    for r in got:
+        assert r.n == sum(r.tool_name in (None, x[1]) for x in rows)
+
+
 def test_parts_combine_in_any_order(spark):
     rnd = random.Random(2)
     rows = spark.createDataFrame([("g", i % 5, float(int(rnd.gauss(500, 90))), 1) for i in range(5000)], "k string, day int, value double, n int")
