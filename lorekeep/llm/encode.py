@@ -1,9 +1,10 @@
 """Encoding of whole texts with a public byte-level BPE tokenizer.
 
 Texts up to LEAF characters are encoded in batches. A longer one is cut into leaves that are encoded in
-parallel and then joined pairwise, as a tree: around each join a growing window is split into words
-again, from a word start that the left side is sure of, until it meets a word start of the right side.
-From there on both sides agree exactly, because the tokenizer's word pattern only looks ahead.
+parallel and then joined as a tree, in rounds over (document, node): a node joins up to FAN_IN neighbours,
+pairwise. Around each join a growing window is split into words again, from a word start that the left side
+is sure of, until it meets a word start of the right side. From there on both sides agree exactly, because the
+tokenizer's word pattern only looks ahead.
 """
 
 from __future__ import annotations
@@ -25,9 +26,17 @@ FOLDER = os.environ.get("LOREKEEP_TOKENIZERS", "/opt/tokenizers")
 NAME = "byte_bpe_50k"
 LEAF = 8192
 WINDOW = 64
+#: Neighbouring nodes that one task joins in a round.
+FAN_IN = 16
 #: The word pattern of the byte-level vocabularies (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORDS = regex.compile(PATTERN)
+#: Where a word begins wherever a scan starts: at a blank between two letters, and where letters, numbers and
+#: other signs meet, but for letters after an apostrophe, which it may take along.
+_STARTS = regex.compile(
+    r"(?<=\p{L})(?= \p{L})|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])"
+    r"|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])|(?<=')(?=\p{N})"
+)
 
 
 @lru_cache(maxsize=4)
@@ -78,13 +87,12 @@ def join(text: str, left: tuple[int, int, list[int]], right: tuple[int, int, lis
 
 
 def _sure(text: str, a: int, lo: int, cut: int) -> int | None:
-    """A place in [lo, cut) where a word of any scan from ``a`` begins: a blank between two letters, or
-    ``a`` itself when the window reaches back to it."""
+    """A place in [lo, cut) where a word of any scan from ``a`` begins, or ``a`` itself when the window
+    reaches back to it."""
     if lo == a:
         return a
-    for m in regex.finditer(r"(?<=\p{L}) (?=\p{L})", text[lo - 1 : cut]):
-        return lo - 1 + m.start()
-    return None
+    m = _STARTS.search(text[lo - 1 : cut])
+    return lo - 1 + m.start() if m else None
 
 
 def _head(text: str, a: int, start: int, cut: int, ids: list[int], enc: tiktoken.Encoding) -> list[int]:
@@ -139,23 +147,38 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", name: str = NAME, folder:
     short = rows.where(F.col("text").isNotNull() & (F.length("text") <= leaf)).mapInArrow(_encode(name, folder), f"`{key}` {kind}, ids array<int>")
     none = rows.where(F.col("text").isNull()).select(key, F.lit(None).cast("array<int>").alias("ids"))
     long = rows.where(F.length("text") > leaf)
-    at = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / leaf).cast("int"))
-    cut = long.select(key, F.posexplode(F.transform(at, lambda i: F.substring("text", i * leaf + 1, F.lit(leaf)))).alias("k", "text"))
+    most = long.agg(F.max(F.length("text"))).first()[0] or 0
+
+    def cut(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            for d, t in zip(b.column(key), b.column("text").to_pylist()):
+                parts = [t[i : i + leaf] for i in range(0, len(t), leaf)]
+                keys = pa.array([d.as_py()] * len(parts), b.column(key).type)
+                yield pa.record_batch([keys, pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=[key, "k", "text"])
+
     # every leaf goes its own way, so that one very long text is encoded by many tasks
-    leaves = cut.repartition(F.col(key), F.col("k")).mapInArrow(_encode_leaves(name, folder), f"`{key}` {kind}, k int, text string, ids array<int>")
+    leaves = long.mapInArrow(cut, f"`{key}` {kind}, k int, text string").repartition(F.col(key), F.col("k"))
+    nodes = leaves.mapInArrow(_encode_leaves(name, folder), f"`{key}` {kind}, k int, text string, ids array<int>")
 
-    def tree(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(name, folder)
         for b in source:
-            out = []
+            whole, out = [], []
             for texts, ids in zip(b.column("texts").to_pylist(), b.column("idss").to_pylist()):
                 ends = np.cumsum([len(t) for t in texts]).tolist()
                 parts = [(e - len(t), e, x) for t, e, x in zip(texts, ends, ids)]
-                out.append(join_tree("".join(texts), parts, enc))
-            yield pa.record_batch([b.column(key), pa.array(out, pa.list_(pa.int32()))], names=[key, "ids"])
-
-    gathered = leaves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("k", "text", "ids"))).alias("p")).select(key, F.col("p.text").alias("texts"), F.col("p.ids").alias("idss"))
-    return short.union(none).union(gathered.mapInArrow(tree, f"`{key}` {kind}, ids array<int>"))
+                whole.append("".join(texts))
+                out.append(join_tree(whole[-1], parts, enc))
+            yield pa.record_batch([b.column(key), b.column("k"), pa.array(whole), pa.array(out, pa.list_(pa.int32()))], names=[key, "k", "text", "ids"])
+
+    width = leaf
+    while width < most:
+        width *= FAN_IN
+        up = nodes.groupBy(key, F.floor(F.col("k") / FAN_IN).cast("int").alias("k"))
+        near = up.agg(F.array_sort(F.collect_list(F.struct(F.col("k").alias("at"), "text", "ids"))).alias("p"))
+        near = near.select(key, "k", F.col("p.text").alias("texts"), F.col("p.ids").alias("idss"))
+        nodes = near.mapInArrow(joined, f"`{key}` {kind}, k int, text string, ids array<int>")
+    return short.union(none).union(nodes.select(key, "ids"))
 
 
 def _encode_leaves(name: str, folder: str):

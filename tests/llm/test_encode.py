@@ -16,12 +16,21 @@ def table(spark, rows):
 def test_equals_whole_encoding(spark, leaf):
     rnd = random.Random(leaf)
     texts = ["".join(rnd.choice(TRICKY) + rnd.choice(["", " ", "\n", " word"]) for _ in range(rnd.randrange(1, 60))) for _ in range(60)] + ["x" * 500, " " * 300, "ab " * 900]
+    texts += ["漢字かな" * 200, "aGk5Kx+9/" * 200, '{"a":1,"b":[2,3]}' * 120, "it's'll" * 150, "x1'2'd3" * 150]
     got = {r.doc_id: r.ids for r in encode.encode_texts(table(spark, list(enumerate(texts))), leaf=leaf).collect()}
     enc = encode.encoding()
     assert all(got[i] == enc.encode_ordinary(t) for i, t in enumerate(texts))
     assert all(enc.decode(got[i]) == t for i, t in enumerate(texts))
 
 
+def test_long_text_without_blanks(spark):
+    """Rounds of joins, cut and joined in linear time: 4 million signs of raw payload."""
+    rnd = random.Random(9)
+    text = "".join(f'{{"k{rnd.randrange(99)}":"{rnd.random()}"}},' for _ in range(140_000))
+    got = encode.encode_texts(table(spark, [(1, text), (2, "a b")])).collect()
+    assert {r.doc_id: list(r.ids) for r in got}[1] == encode.encoding().encode_ordinary(text)
+
+
 def test_matches_the_other_library():
     from tokenizers import Tokenizer
 
