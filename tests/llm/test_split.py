@@ -38,6 +38,22 @@ def test_natural_boundaries_first():
     assert [sections[c : c + 5] for _, c, _ in split.pieces_of(sections)] == ["# one", "# two", "# thr"]
 
 
+def test_structure_stays_whole():
+    fence = "```py\n" + "".join(f"# comment {i}\nx = {i}\n\n- y\n" for i in range(35)) + "```\n"
+    text = "Intro " * 140 + "\n\n" + fence + "\n" + "Outro words. " * 90
+    at = text.index("```")
+    assert any(c <= at and at + len(fence) <= e for _, c, e in split.pieces_of(text))
+    tree = split.boundaries(text, 0, len(text))
+    assert not any(tree[d] for d in range(6)) and tree[split.BLOCK] == [at, at + len(fence), at + len(fence) + 1]
+    # items are kept with their nested ones, closed elements of markup with what they hold
+    items = "".join(f"- item {i} " + "w " * 80 + f"\n    - sub {i} " + "v " * 90 + "\n" for i in range(8))
+    assert all(items[c : c + 6] == "- item" for _, c, _ in split.pieces_of(items))
+    markup = "<div>" + "".join("<section><p>" + "q " * 250 + "</p><p>" + "r " * 150 + "</p></section>" for _ in range(6)) + "</div>"
+    assert all(markup[c : c + 9] in ("<section>", "<div><sec") for _, c, _ in split.pieces_of(markup))
+    wrong = "```\n~~~\n# no heading\n``` not closed\n# none\n```\n# one\n"
+    assert split.boundaries(wrong, 0, len(wrong))[0] == [wrong.index("# one")]
+
+
 def test_limit_is_exact():
     assert len(split.pieces_of(" " + "y" * 1600 + "\n")) == 1 and len(split.pieces_of("y" * 1601)) == 2
     assert split.pieces_of("") == [(0, 0, 0)]
