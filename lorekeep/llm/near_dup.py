@@ -7,11 +7,12 @@
 2. Blocks come from prefix filtering, which loses no pair: sets with a similarity of at least t share
    one of the first n - ceil(t n) + 1 shingles in any fixed order. Rare shingles come first, by a count
    sketch of fixed size over all texts.
-3. Inside blocks, sorted by bit count, tiles are compared with exclusive-or and bit counts; rows or
-   tiles whose bit counts differ beyond the radius are skipped. For similarity t the radius
-   is (1-t)/(1+t) of the summed sizes. Blocks over TILE classes are cut into pairs of tiles, each a
-   block of its own, so that no task holds a whole hot block.
-4. Surviving pairs are verified on the shingle sets themselves.
+3. A shingle that the sketch counts TILE times or more is hot: its classes are never gathered. They are
+   counted by (level, bit count), cut into tiles along that order, and only the pairs of tiles whose bit counts
+   lie within the radius become blocks. For similarity t the radius is (1-t)/(1+t) of the summed sizes.
+4. Inside blocks, sorted by bit count, tiles are compared with exclusive-or and bit counts; rows or
+   tiles whose bit counts differ beyond the radius are skipped.
+5. Surviving pairs are verified on the sets of whole 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.shingles import mix, ordered, project_keys, shingles, text_slices
@@ -31,13 +32,13 @@ from lorekeep.sources.tables import materialise
 NUM, DEN = 3, 5
 #: Counters of the shingle count sketch and bits of the filter of paired classes, as powers of two.
 COUNT_BITS, FILTER_BITS = 22, 24
-#: Largest block compared as one, and rows of a tile inside it.
+#: Classes from which a shingle is hot, which are those of a tile between tasks; rows of a tile inside a task.
 TILE, ROWS = 2048, 256
 PIECE = 4096
 #: Bits of the smallest odd sketch, as a power of two; each level has twice as many.
 SKETCH_BITS = 8
-#: Bytes of a shingle's hash that sets are verified with; two different shingles agree in them with a chance of 2^-40.
-KEPT = 5
+#: A sort key of sketches is the level above so many bits, which hold the bit count.
+LEVEL_AT = 26
 
 
 def _batches(source: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -76,7 +77,7 @@ def _odd_sketches(sh: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 def _order(odd: list[bytes], n: np.ndarray) -> np.ndarray:
     """Sort key of sketches: by level, then by bit count."""
-    return ((_level(n) << 26) + np.array([int.from_bytes(x).bit_count() for x in odd], "int64")).astype("int32")
+    return ((_level(n) << LEVEL_AT) + np.array([int.from_bytes(x).bit_count() for x in odd], "int64")).astype("int32")
 
 
 _SCAN = "id string, project string, ref bigint, n int, bits int, sketch binary, piece int, counts binary"
@@ -90,10 +91,13 @@ def _scan(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = _odd_sketches(sh, n)
         none = pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())
         yield pa.record_batch([b.column("id")[lo:hi], b.column("project")[lo:hi], pa.array(_refs(sh, n).view("int64")), pa.array(n.astype("int32")), pa.array(_order(odd, n), pa.int32()), pa.array(odd, pa.binary()), *none], names=_names(_SCAN))
-    pieces = np.minimum(counts, 255).astype("uint8").reshape(-1, PIECE)  # they only order shingles
+    pieces = counts.reshape(-1, PIECE)
     used = np.flatnonzero(pieces.any(axis=1))
+    # a piece of small counts takes one byte for each
+    raw = [(pieces[i].astype("uint8") if pieces[i].max() < 256 else pieces[i]).tobytes() for i in used]
     k = len(used)
-    yield pa.record_batch([pa.nulls(k, pa.string())] * 2 + [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(used.astype("int32")), pa.array([pieces[i].tobytes() for i in used], pa.binary())], names=_names(_SCAN))
+    none = [pa.nulls(k, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary())]
+    yield pa.record_batch([*none, pa.array(used.astype("int32")), pa.array(raw, pa.binary())], names=_names(_SCAN))
 
 
 def _names(schema: str) -> list[str]:
@@ -107,7 +111,7 @@ def _merged(pieces: DataFrame, kind: str, join: Callable, total: int) -> np.ndar
         held: dict[int, np.ndarray] = {}
         for b in source:
             for p, raw in zip(b.column("piece").to_pylist(), b.column("counts").to_pylist()):
-                x = np.frombuffer(raw, "uint8").astype(kind)
+                x = np.frombuffer(raw, "uint32" if len(raw) == 4 * PIECE else "uint8").astype(kind)
                 held[p] = join(held[p], x) if p in held else x
         if held:
             yield pa.record_batch([pa.array(held, pa.int32()), pa.array([v.tobytes() for v in held.values()], pa.binary())], names=["piece", "counts"])
@@ -120,17 +124,28 @@ def _merged(pieces: DataFrame, kind: str, join: Callable, total: int) -> np.ndar
     return whole
 
 
-def _prefix(weights) -> Callable:
+def _prefix(weights, hot, wanted: bool) -> Callable:
+    """Rows (shingle, ref, n_pos) of the prefixes of all classes, of the hot shingles or of the others.
+
+    n_pos packs the set size and the position in its order into 16 bits each; 0 stands for a larger set.
+    """
+
     def prefix(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = weights.value
+        w, frequent = weights.value, hot.value
         for _, _, _, text, sh, n in _batches(source):
             refs = _refs(sh, n)
             first = np.zeros(len(n), bool)
             first[np.unique(refs, return_index=True)[1]] = True
-            order = ordered(text, w[(sh >> np.uint64(64 - COUNT_BITS)).astype("int64")], sh)
+            counter = (sh >> np.uint64(64 - COUNT_BITS)).astype("int64")
+            order = ordered(text, w[counter], sh)
             rank = np.arange(len(sh)) - np.repeat(np.cumsum(n) - n, n)
             keep = (rank < (n - -(-NUM * n // DEN) + 1)[text]) & first[text]
-            yield pa.record_batch([pa.array(sh[order][keep].view("int64")), pa.array(refs[text][keep].view("int64")), pa.array(n[text][keep] << 20 | np.minimum(rank[keep], 0xFFFFF))], names=["shingle", "ref", "n_pos"])
+            if frequent is not None:
+                keep &= (frequent[counter[order] >> 3] >> (counter[order] & 7) & 1 == 1) == wanted
+            size, own = n[text][keep], order[keep]
+            packed = np.where(size < 1 << 16, size << 16 | rank[keep], 0).astype("uint32").view("int32")
+            columns = [sh[own].view("int64"), refs[text][keep].view("int64"), packed]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["shingle", "ref", "n_pos"])
 
     return prefix
 
@@ -157,12 +172,13 @@ def _runs(source: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.n
         yield {c: np.concatenate([h[c] for h in held]) for c in held[0]}
 
 
-def _useful(at: np.ndarray, size: np.ndarray, n: np.ndarray, pos: np.ndarray) -> np.ndarray:
+def _useful(at: np.ndarray, size: np.ndarray, n_pos: np.ndarray) -> np.ndarray:
     """Rows of runs that may have a partner in their run.
 
     Two similar sets meet at the first shingle they share. What they share lies from there on, so each
     has at least NUM/(NUM+DEN) of the summed sizes left at that position. Runs over 64 rows stay whole.
     """
+    n, pos = (n_pos >> 16).astype("int64"), (n_pos & 0xFFFF).astype("int64")
     out = np.repeat(size > 64, size)
     own = np.repeat(np.arange(len(at)), size)
     left = (DEN + NUM) * (n - pos)
@@ -173,23 +189,24 @@ def _useful(at: np.ndarray, size: np.ndarray, n: np.ndarray, pos: np.ndarray) ->
         if not len(here):
             break
         i, j = here, here + d
-        ok = (np.minimum(left[i], left[j]) >= NUM * (n[i] + n[j])) & (DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j]))
+        ok = np.minimum(left[i], left[j]) >= NUM * (n[i] + n[j])
+        ok &= DEN * np.minimum(n[i], n[j]) >= NUM * np.maximum(n[i], n[j])
+        ok |= (n[i] == 0) | (n[j] == 0)
         out[i[ok]] = out[j[ok]] = True
     return out
 
 
 def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, ref, side) of shingles that several classes have in their prefix.
+    """(block, ref, side) of shingles that several classes have in their prefix; side 0: all are compared.
 
-    Shingles with the same list of classes give the same block. side 0: all rows are compared; 1 and 2:
-    only rows of different sides.
+    Shingles with the same list of classes give the same block.
     """
     for r in _runs(source, "shingle"):
         new = np.ones(len(r["ref"]), bool)
         new[1:] = (r["shingle"][1:] != r["shingle"][:-1]) | (r["ref"][1:] != r["ref"][:-1])
         s, ref = r["shingle"][new], r["ref"][new]
         at, size = _starts(s)
-        use = _useful(at, size, r["n_pos"][new] >> 20, r["n_pos"][new] & 0xFFFFF)
+        use = _useful(at, size, r["n_pos"][new].view("uint32"))
         s, ref = s[use], ref[use]
         if not len(s):
             continue
@@ -197,17 +214,53 @@ def _blocks(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = mix(np.add.reduceat(mix(ref.view("uint64")), at) + n.astype("uint64"))
         keep = np.zeros(len(at), bool)
         keep[np.unique(block, return_index=True)[1]] = True
-        small = keep & (n > 1) & (n <= TILE)
-        rows = np.repeat(small, n)
-        yield _block_rows(np.repeat(block, n)[rows], ref[rows], 0)
-        for i in np.flatnonzero(keep & (n > TILE)):
-            tiles = np.array_split(ref[at[i] : at[i] + n[i]], -(-n[i] // TILE))
-            for a, left in enumerate(tiles):
-                for b in range(a, len(tiles)):
-                    own = mix(block[i : i + 1] + np.uint64(a * len(tiles) + b + 1))
-                    yield _block_rows(np.repeat(own, len(left)), left, 1 if b > a else 0)
-                    if b > a:
-                        yield _block_rows(np.repeat(own, len(tiles[b])), tiles[b], 2)
+        rows = np.repeat(keep & (n > 1), n)
+        side = np.zeros(int(rows.sum()), "int8")
+        columns = [np.repeat(block, n)[rows].view("int64"), ref[rows], side]
+        yield pa.record_batch([pa.array(c) for c in columns], names=["block", "ref", "side"])
+
+
+def _hot_blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(block, ref, side) of hot shingles: pairs of tiles within the radius of each other. side 1 and 2: only
+    classes of different sides are compared.
+
+    ``rows`` holds (shingle, ref), ``classes`` (ref, n, bits). A tile has at most 2 * TILE classes, next to each
+    other by bit count; equal bit counts of more classes are spread by hash.
+    """
+    known = rows.select("shingle", "ref").distinct().join(classes.select("ref", "n", "bits"), "ref")
+    known = materialise(known, "hot")
+    counts = known.groupBy("shingle", "bits").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("shingle").orderBy("bits").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.floor(F.coalesce(F.sum("k").over(before), F.lit(0)) / TILE)
+    cut = counts.select("shingle", "bits", "k", at.alias("at"))
+    many = F.col("k") > TILE
+    part = F.when(many, F.pmod(F.hash("ref"), F.ceil(F.col("k") / TILE).cast("int"))).otherwise(-1)
+    alone = F.when(many, F.col("bits")).otherwise(-1)
+    tiled = known.join(cut, ["shingle", "bits"])
+    tiled = materialise(tiled.select("shingle", "ref", "n", "bits", F.xxhash64("shingle", "at", alone, part).alias("tile")), "tiled")
+    tiles = tiled.groupBy("shingle", "tile").agg(
+        F.min("bits").alias("lo"), F.max("bits").alias("hi"), F.max("n").alias("n"), F.bit_xor(F.xxhash64("ref")).alias("content")
+    )
+    tiles = materialise(tiles, "tiles")
+    a, b = tiles.alias("a"), tiles.alias("b")
+    ordered_pair = F.struct("a.lo", "a.tile") <= F.struct("b.lo", "b.tile")
+    pairs = a.join(b, F.col("a.shingle") == F.col("b.shingle")).where(ordered_pair & _in_reach())
+    block = F.xxhash64("a.content", "b.content").alias("block")
+    same = F.col("a.tile") == F.col("b.tile")
+    left = pairs.select(F.col("a.tile").alias("tile"), block, F.when(same, 0).otherwise(1).cast("tinyint").alias("side"))
+    right = pairs.where(~same).select(F.col("b.tile").alias("tile"), block, F.lit(2).cast("tinyint").alias("side"))
+    # shingles of the same classes have the same tiles, whose blocks are one
+    return tiled.select("tile", "ref").join(left.union(right), "tile").select("block", "ref", "side").distinct()
+
+
+def _in_reach() -> Column:
+    """Whether tiles a and b, a before b by bit count, may hold a pair: bit counts compare at one level only, and
+    similar sets are at most one level apart."""
+    level = lambda c: F.shiftright(c, LEVEL_AT)
+    radius = F.floor((DEN - NUM) * (F.col("a.n") + F.col("b.n")) / (DEN + NUM))
+    apart = level("b.lo") - level("a.hi")
+    near = F.col("b.lo") - F.col("a.hi") <= radius
+    return F.when(apart <= 0, near).otherwise(apart == 1)
 
 
 def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,10 +269,6 @@ def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.diff(np.append(at, len(key)))
 
 
-def _block_rows(block: np.ndarray, ref: np.ndarray, side: int) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(block.view("int64")), pa.array(ref), pa.array(np.full(len(ref), side, "int8"))], names=["block", "ref", "side"])
-
-
 def _xor_counts(sketches: np.ndarray, n: np.ndarray) -> Callable:
     """Function (i, j) -> differing bits of rows' sketches, folded to the smaller of two neighbouring levels."""
     level = _level(n)
@@ -298,17 +347,6 @@ def _filter_bits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(used.astype("int32")), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["piece", "counts"])
 
 
-def _packed(sh: np.ndarray) -> bytes:
-    """The leading bytes of each hash, most significant first, in the order of the hashes."""
-    return sh.astype(">u8").view("uint8").reshape(-1, 8)[:, :KEPT].tobytes()
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // KEPT, 8), "uint8")
-    wide[:, :KEPT] = np.frombuffer(raw, "uint8").reshape(-1, KEPT)
-    return wide.view(">u8").ravel().astype("uint64")
-
-
 def _sets(wanted) -> Callable:
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value).view(bool)
@@ -317,21 +355,23 @@ def _sets(wanted) -> Callable:
             some = bits[(refs >> np.uint64(64 - FILTER_BITS)).astype("int64")] & (n > 0)
             first = np.zeros(len(n), bool)
             first[np.unique(refs, return_index=True)[1]] = True
-            at, raw = np.cumsum(n) - n, _packed(sh)
+            at = np.cumsum(n) - n
             take = np.flatnonzero(some & first)
-            yield pa.record_batch([pa.array(refs[take].view("int64")), pa.array([raw[KEPT * at[i] : KEPT * (at[i] + n[i])] for i in take], pa.binary())], names=["ref", "sh"])
+            raw = pa.array([sh[at[i] : at[i] + n[i]].tobytes() for i in take], pa.binary())
+            yield pa.record_batch([pa.array(refs[take].view("int64")), raw], names=["ref", "sh"])
 
     return sets
 
 
 def _verify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose shingle sets have a similarity of at least NUM/DEN."""
-    for b in source:
-        shared = [len(np.intersect1d(_unpacked(p), _unpacked(q), assume_unique=True)) for p, q in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
-        shared = np.array(shared, "int64")
-        either = (np.array([len(p.as_buffer()) for p in b.column("sa")], "int64") + np.array([len(q.as_buffer()) for q in b.column("sb")], "int64")) // KEPT - shared
+    for batch in source:
+        left, right = ([np.frombuffer(x, "uint64") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
+        shared = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(left, right)], "int64")
+        either = np.array([len(p) + len(q) for p, q in zip(left, right)], "int64") - shared
         ok = shared * DEN >= either * NUM
-        yield pa.record_batch([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok)), pa.array((shared / np.maximum(either, 1))[ok])], names=["a", "b", "similarity"])
+        kept = [batch.column(c).filter(pa.array(ok)) for c in ("a", "b")]
+        yield pa.record_batch([*kept, pa.array((shared / np.maximum(either, 1))[ok])], names=["a", "b", "similarity"])
 
 
 def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -350,9 +390,15 @@ def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = scanned.where(F.col("piece").isNull()).select("id", "project", "ref", "n").dropDuplicates(["id"])
     counts = _merged(scanned.where(F.col("piece").isNotNull()), "uint32", np.add, 1 << COUNT_BITS)
     weights = spark.sparkContext.broadcast(np.minimum(np.log2(counts + 1.0) * 8, 255).astype("uint8"))
-    prefixes = paired.mapInArrow(_prefix(weights), "shingle bigint, ref bigint, n_pos bigint")
-    blocks = prefixes.repartition("shingle").sortWithinPartitions("shingle", "ref").mapInArrow(_blocks, "block bigint, ref bigint, side tinyint")
-    classes = scanned.where((F.col("n") > 0) & F.col("project").isNotNull()).select("ref", "n", "sketch", "bits").dropDuplicates(["ref"])
+    frequent = counts >= TILE
+    hot = spark.sparkContext.broadcast(np.packbits(frequent, bitorder="little") if frequent.any() else None)
+    found = "shingle bigint, ref bigint, n_pos int"
+    rare = paired.mapInArrow(_prefix(weights, hot, False), found).repartition("shingle")
+    blocks = rare.sortWithinPartitions("shingle", "ref").mapInArrow(_blocks, "block bigint, ref bigint, side tinyint")
+    classes = scanned.where((F.col("n") > 0) & F.col("project").isNotNull())
+    classes = classes.select("ref", "n", "sketch", "bits").dropDuplicates(["ref"])
+    if frequent.any():
+        blocks = blocks.union(_hot_blocks(paired.mapInArrow(_prefix(weights, hot, True), found), classes))
     candidates = blocks.join(classes, "ref").repartition("block").sortWithinPartitions("block", "bits").mapInArrow(_compare, "a bigint, b bigint").distinct()
     candidates = materialise(candidates, "pairs")
     wanted = _merged(candidates.mapInArrow(_filter_bits, "piece int, counts binary"), "uint8", np.bitwise_or, 1 << FILTER_BITS >> 3)

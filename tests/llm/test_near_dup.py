@@ -82,3 +82,23 @@ def test_edges(spark):
     g = {r.id: (r.group_id, r.links) for r in near_dup.groups(table(spark, rows)).collect()}
     assert g["i"] == ("h", 0) and g["g"] == ("f", 1) and g["a"] == ("a", 0) and g["d"] != g["e"] and len(g) == 10
     assert near_dup.similar_pairs(table(spark, [])).count() == 0 and near_dup.groups(table(spark, [])).count() == 0
+
+
+def test_hot_shingle_is_cut_along_bit_counts(spark, monkeypatch):
+    """One shingle in every text: its tiles stay small, and tiles beyond the radius never meet."""
+    rnd = random.Random(7)
+    rows = []
+    for i in range(300):
+        size = rnd.choice([4, 30, 90])
+        rows.append((f"h{i:03d}", "all of them " + " ".join(f"y{rnd.randrange(6 * size)}" for _ in range(size)), "p"))
+    rows += [(f"k{i:03d}", t + " end", p) for i, (_, t, p) in enumerate(rows[:150])]
+    monkeypatch.setattr(near_dup, "TILE", 20)
+    df = table(spark, rows)
+    assert {tuple(r) for r in near_dup.similar_pairs(df).collect()} == brute(rows)
+    schema = "shingle bigint, ref bigint, n int, bits int"
+    known = spark.createDataFrame([(1, i, 40, (1 << near_dup.LEVEL_AT) + i // 3) for i in range(900)], schema)
+    blocks = near_dup._hot_blocks(known, known.drop("shingle"))
+    size = blocks.groupBy("block").count().agg({"count": "max"}).first()[0]
+    pairs = blocks.select("block").distinct().count()
+    # 45 tiles of 20; the radius of 20 bits spans three of them on either side
+    assert size <= 4 * near_dup.TILE and pairs < 45 * 5
