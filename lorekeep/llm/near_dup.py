@@ -12,7 +12,8 @@
    lie within the radius become blocks. For similarity t the radius is (1-t)/(1+t) of the summed sizes.
 4. Inside blocks, sorted by bit count, tiles are compared with exclusive-or and bit counts; rows or
    tiles whose bit counts differ beyond the radius are skipped.
-5. Surviving pairs are verified on the sets of whole 64-bit shingle hashes.
+5. Surviving pairs are verified on the sets of their shingles' hashes: first on KEPT bytes of each, and pairs
+   that SLACK shingles more or less would decide once more on whole 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ TILE, ROWS = 2048, 256
 PIECE = 4096
 #: Bits of the smallest odd sketch, as a power of two; each level has twice as many.
 SKETCH_BITS = 8
+#: Bytes of each hash in the first test of a pair, and the shared shingles by which it may be wrong: two different
+#: shingles agree in five bytes with a chance of 2^-40, so two such accidents in one pair do not happen.
+KEPT, SLACK = 5, 1
 #: A sort key of sketches is the level above so many bits, which hold the bit count.
 LEVEL_AT = 26
 
@@ -347,7 +351,22 @@ def _filter_bits(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(used.astype("int32")), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["piece", "counts"])
 
 
-def _sets(wanted) -> Callable:
+def _packed(sh: np.ndarray, kept: int) -> np.ndarray:
+    """The leading bytes of each hash, most significant first, in the order of the hashes."""
+    return sh.astype(">u8").view("uint8").reshape(-1, 8)[:, :kept]
+
+
+def _unpacked(raw: bytes, kept: int) -> np.ndarray:
+    """Distinct sorted hashes of packed ones."""
+    wide = np.zeros((len(raw) // kept, 8), "uint8")
+    wide[:, :kept] = np.frombuffer(raw, "uint8").reshape(-1, kept)
+    out = wide.view(">u8").ravel().astype("uint64")
+    return out[np.concatenate(([True], out[1:] != out[:-1]))[: len(out)]]
+
+
+def _sets(wanted, kept: int) -> Callable:
+    """(ref, n, sh): packed shingles of the classes that a filter holds."""
+
     def sets(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value).view(bool)
         for _, _, _, _, sh, n in _batches(source):
@@ -355,23 +374,35 @@ def _sets(wanted) -> Callable:
             some = bits[(refs >> np.uint64(64 - FILTER_BITS)).astype("int64")] & (n > 0)
             first = np.zeros(len(n), bool)
             first[np.unique(refs, return_index=True)[1]] = True
-            at = np.cumsum(n) - n
+            at, raw = np.cumsum(n) - n, _packed(sh, kept)
             take = np.flatnonzero(some & first)
-            raw = pa.array([sh[at[i] : at[i] + n[i]].tobytes() for i in take], pa.binary())
-            yield pa.record_batch([pa.array(refs[take].view("int64")), raw], names=["ref", "sh"])
+            packed = pa.array([raw[at[i] : at[i] + n[i]].tobytes() for i in take], pa.binary())
+            yield pa.record_batch([pa.array(refs[take].view("int64")), packed], names=["ref", "sh"])
 
     return sets
 
 
-def _verify(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose shingle sets have a similarity of at least NUM/DEN."""
-    for batch in source:
-        left, right = ([np.frombuffer(x, "uint64") for x in batch.column(c).to_pylist()] for c in ("sa", "sb"))
-        shared = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(left, right)], "int64")
-        either = np.array([len(p) + len(q) for p, q in zip(left, right)], "int64") - shared
-        ok = shared * DEN >= either * NUM
-        kept = [batch.column(c).filter(pa.array(ok)) for c in ("a", "b")]
-        yield pa.record_batch([*kept, pa.array((shared / np.maximum(either, 1))[ok])], names=["a", "b", "similarity"])
+def _shared(kept: int) -> Callable:
+    """(a, b, n_a, n_b, shared) of pairs with their packed sets."""
+
+    def shared(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            left, right = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            both = [len(np.intersect1d(_unpacked(p, kept), _unpacked(q, kept), assume_unique=True)) for p, q in zip(left, right)]
+            sizes = [pa.array([len(x) // kept for x in side], pa.int32()) for side in (left, right)]
+            yield pa.record_batch([batch.column("a"), batch.column("b"), *sizes, pa.array(both, pa.int32())], names=["a", "b", "n_a", "n_b", "shared"])
+
+    return shared
+
+
+def _verified(texts: DataFrame, candidates: DataFrame, kept: int) -> DataFrame:
+    """(a, b, n_a, n_b, shared) of candidate pairs, counted on ``kept`` bytes of each hash."""
+    wanted = _merged(candidates.mapInArrow(_filter_bits, "piece int, counts binary"), "uint8", np.bitwise_or, 1 << FILTER_BITS >> 3)
+    sets = texts.mapInArrow(_sets(texts.sparkSession.sparkContext.broadcast(wanted), kept), "ref bigint, sh binary")
+    sets = sets.dropDuplicates(["ref"])
+    left = candidates.join(sets.select(F.col("ref").alias("a"), F.col("sh").alias("sa")), "a")
+    both = left.join(sets.select(F.col("ref").alias("b"), F.col("sh").alias("sb")), "b").select("a", "b", "sa", "sb")
+    return both.mapInArrow(_shared(kept), "a bigint, b bigint, n_a int, n_b int, shared int")
 
 
 def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -401,11 +432,15 @@ def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
         blocks = blocks.union(_hot_blocks(paired.mapInArrow(_prefix(weights, hot, True), found), classes))
     candidates = blocks.join(classes, "ref").repartition("block").sortWithinPartitions("block", "bits").mapInArrow(_compare, "a bigint, b bigint").distinct()
     candidates = materialise(candidates, "pairs")
-    wanted = _merged(candidates.mapInArrow(_filter_bits, "piece int, counts binary"), "uint8", np.bitwise_or, 1 << FILTER_BITS >> 3)
-    sets = paired.mapInArrow(_sets(spark.sparkContext.broadcast(wanted)), "ref bigint, sh binary").dropDuplicates(["ref"])
-    left = candidates.join(sets.select(F.col("ref").alias("a"), F.col("sh").alias("sa")), "a")
-    both = left.join(sets.select(F.col("ref").alias("b"), F.col("sh").alias("sb")), "b")
-    pairs = both.select("a", "b", "sa", "sb").mapInArrow(_verify, "a bigint, b bigint, similarity double")
+    counted = materialise(_verified(paired, candidates, KEPT), "counted")
+    # shared >= NUM/DEN of all different ones: (NUM + DEN) * shared >= NUM * (n_a + n_b)
+    over = (NUM + DEN) * F.col("shared") - NUM * (F.col("n_a") + F.col("n_b"))
+    close = F.abs(over) < (NUM + DEN) * SLACK
+    pairs = counted.where((over >= 0) & ~close)
+    if not counted.where(close).isEmpty():
+        again = materialise(counted.where(close).select("a", "b"), "close")
+        pairs = pairs.union(_verified(paired, again, 8).where(over >= 0))
+    pairs = pairs.select("a", "b", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("similarity"))
     return members, pairs
 
 

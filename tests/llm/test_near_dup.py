@@ -102,3 +102,14 @@ def test_hot_shingle_is_cut_along_bit_counts(spark, monkeypatch):
     pairs = blocks.select("block").distinct().count()
     # 45 tiles of 20; the radius of 20 bits spans three of them on either side
     assert size <= 4 * near_dup.TILE and pairs < 45 * 5
+
+
+def test_pairs_at_the_limit_are_decided_on_whole_hashes(spark, monkeypatch):
+    """With one byte of each hash almost every shingle agrees with another one; the second look decides."""
+    base = [f"w{i}" for i in range(82)]  # 80 shingles
+    rows = [("a", " ".join(base), "p")]
+    for k in range(12, 26):
+        rows.append((f"b{k}", " ".join(base[:-k] + [f"x{k}y{j}" for j in range(k)]), "p"))
+    monkeypatch.setattr(near_dup, "SLACK", 80)
+    monkeypatch.setattr(near_dup, "KEPT", 1)
+    assert {tuple(r) for r in near_dup.similar_pairs(table(spark, rows)).collect()} == brute(rows)
