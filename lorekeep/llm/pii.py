@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.names import SHORT, TITLES
-from lorekeep.llm.pages import LINE, DIGIT, Page, hashes
+from lorekeep.llm.pages import BLANK, DIGIT, LINE, Page, hashes
 from lorekeep.llm.shingles import mix
 from lorekeep.sources.tables import materialise
 
@@ -68,20 +68,26 @@ _SPELLED = [
     ),
     re.compile(r"(?i)(?<![\w.+-])[\w.+-]*\w (?:at|arroba) [\w-]+(?: (?:dot|punto|punkt|point) [\w-]+)+"),
 ]
-#: Formats of numbers and addresses, looked for in lines with a digit.
+#: Signs of a line before and behind each digit in which formats with digits are looked for.
+BEFORE, BEHIND = 80, 120
+#: Formats of numbers and addresses.
 PATTERNS: dict[str, list[re.Pattern]] = {
     "phone": [
         re.compile(r"(?<![\w.+/-])(?:\+|\(\+?)?\d[\d() ./-]{5,18}\d(?![\w]|[.:-]\d)"),
     ],
     "id_number": [
-        re.compile(r"(?<![\w.-])\d{3}[ -]\d{2}[ -]\d{4}(?![\w]|[.-]\d)"),
-        re.compile(r"(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?!\w)"),
-        re.compile(r"(?<![\w-])(?:\d{8}|[XYZ]\d{7})[ -]?[A-Z](?!\w)"),
-        re.compile(r"(?<![\w.+-])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w]|[ .-]\d)"),
-        re.compile(r"(?<![\w.+-])\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w]|[ .-]\d)"),
-        re.compile(r"(?<![\w-])[A-Z]{1,2}\d{6,9}(?!\w)"),
-        re.compile(r"(?<![\w-])[A-Z]\d{2}[A-Z]\d{5}(?!\w)"),
-        re.compile(r"(?<![\w.+-])\d{9,11}(?![\w]|[.-]\d)"),
+        re.compile(
+            r"(?=[A-Z\d])(?:"
+            r"(?<![\w.-])\d{3}[ -]\d{2}[ -]\d{4}(?![\w]|[.-]\d)"
+            r"|(?<![\w-])[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z](?!\w)"
+            r"|(?<![\w-])(?:\d{8}|[XYZ]\d{7})[ -]?[A-Z](?!\w)"
+            r"|(?<![\w.+-])\d{2} ?\d{3} ?\d{3} ?\d{3}(?![\w]|[ .-]\d)"
+            r"|(?<![\w.+-])\d ?\d{2} ?\d{2} ?\d{2} ?\d{3} ?\d{3} ?\d{2}(?![\w]|[ .-]\d)"
+            r"|(?<![\w-])[A-Z]{1,2}\d{6,9}(?!\w)"
+            r"|(?<![\w-])[A-Z]\d{2}[A-Z]\d{5}(?!\w)"
+            r"|(?<![\w.+-])\d{9,11}(?![\w]|[.-]\d)"
+            r")"
+        ),
     ],
     "address": [
         re.compile(
@@ -291,12 +297,19 @@ def _mails(m: Marks, w: Words) -> Iterator[tuple[int, int]]:
 def _numbers(m: Marks) -> Iterator[tuple[str, int, int, int]]:
     """(kind, start, end, place of the pattern) of phones, identity numbers and addresses."""
     p = m.page
-    starts = np.concatenate(([0], m.ends + 1))
-    starts = starts[starts < len(p.codes)]
-    if not len(starts):
+    digit = np.flatnonzero((p.kind & DIGIT) > 0)
+    if not len(digit):
         return
-    some = np.flatnonzero(np.add.reduceat((p.kind & DIGIT) > 0, starts, dtype="int64"))
-    lo, hi = starts[some], np.append(starts[1:], len(p.codes))[some]
+    # what surrounds each digit within its line, from a blank on
+    cuts = np.flatnonzero((p.kind & (BLANK | LINE)) > 0)
+    line = np.searchsorted(m.ends, digit)
+    lo, hi = np.append(0, m.ends + 1)[line], np.append(m.ends, len(p.codes))[line]
+    back = np.searchsorted(cuts, digit - BEFORE, "right") - 1
+    lo = np.maximum(lo, np.where(back >= 0, cuts[np.maximum(back, 0)], 0))
+    hi = np.minimum(hi, digit + BEHIND) + 1
+    new = np.append(True, lo[1:] > np.maximum.accumulate(hi)[:-1])
+    lo, hi = lo[new], np.maximum.reduceat(hi, np.flatnonzero(new))
+    hi = np.minimum(hi, len(p.codes))
     lines = [p.text[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
     joined = "".join(lines)
     at = np.concatenate(([0], np.cumsum(hi - lo)))
