@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: A date, or a date and time with "T" or a blank, with or without fraction and offset.
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d{1,9})?)?( ?(Z|UTC|[+-]\d{2}(:?\d{2})?))?)?$"
+DAY = 86400
 DATE = r"^\d{4}-\d{2}-\d{2}$"
 
 

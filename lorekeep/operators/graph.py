@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
+from lorekeep.functions.time import DAY, seconds_text, utc_seconds
 from lorekeep.sources.tables import materialise
 
 EDGE = ["project", "from_entity", "relation_type", "to_entity"]
@@ -105,24 +106,21 @@ def shortest_paths(steps: DataFrame, pairs: DataFrame, max_depth: int | None = N
 
 
 def validity_bounds(qualifiers: Column) -> tuple[Column, Column]:
-    """(from, to) of a relation as ISO texts: a date starts at its first and ends at its last second."""
-    f = F.coalesce(F.try_element_at(qualifiers, F.lit("valid_from")), F.lit(""))
-    t = F.coalesce(F.try_element_at(qualifiers, F.lit("valid_to")), F.lit(""))
-    start = F.when(F.length(f) == 10, F.concat(f, F.lit("T00:00:00Z"))).otherwise(f)
-    end = F.when(F.length(t) == 10, F.concat(t, F.lit("T23:59:59Z"))).otherwise(t)
-    return start, end
+    """(from, to) of a relation as epoch seconds: a date starts at its first and ends at its last second.
 
+    A missing, empty or unreadable bound is null, which leaves its side open.
+    """
+    f, t = (F.try_element_at(qualifiers, F.lit(k)) for k in ("valid_from", "valid_to"))
+    return utc_seconds(f), utc_seconds(t, end_of_day=True)
 
-def valid_at(qualifiers: Column, as_of: str) -> Column:
-    """Whether a relation holds at an instant; an empty bound is open, an empty ``as_of`` always fits.
 
-    ISO texts are compared as texts.
-    """
+def valid_at(qualifiers: Column, as_of: str) -> Column:
+    """Whether a relation holds at an instant, in whatever spelling; an open side and an empty ``as_of`` always fit."""
     if not as_of:
         return F.lit(True)
-    at = F.lit(f"{as_of}T00:00:00Z" if len(as_of) == 10 else as_of)
+    at = utc_seconds(F.lit(as_of))
     start, end = validity_bounds(qualifiers)
-    return ((start == "") | (start <= at)) & ((end == "") | (at <= end))
+    return F.coalesce(start <= at, F.lit(True)) & F.coalesce(at <= end, F.lit(True))
 
 
 def facts_at(relations: DataFrame, entities: DataFrame | None, as_of: str, direction: str = "outgoing") -> DataFrame:
@@ -156,22 +154,26 @@ def supersede(relations: DataFrame, functional: list[str]) -> DataFrame:
     the earlier, still open one ends when the first such relation begins; repeats of its own target
     between them change nothing.
 
-    Repeated observations count once. Windows hold one day of a subject; days pass on to each other the
-    heads of their first two and their last run of one target only.
+    A relation starts at its valid_from, else when it was observed, whatever the spelling of either; relations
+    without a readable start neither close others nor are closed. Repeated observations count once. Windows hold
+    one day of a subject; days pass on to each other the heads of their first two and their last run of one target.
     """
-    start, _ = validity_bounds(F.col("qualifiers"))
-    rows = relations.where(F.col("relation_type").isin(functional)).withColumn("start", F.when(start != "", start).otherwise(F.coalesce("created_at", F.lit(""))))
+    start = F.coalesce(validity_bounds(F.col("qualifiers"))[0], utc_seconds(F.col("created_at")))
+    rows = relations.where(F.col("relation_type").isin(functional)).withColumn("start", start)
     subject = ["project", "from_entity", "relation_type"]
-    facts = rows.where("to_entity is not null").select(*subject, "to_entity", "start").distinct().withColumn("day", F.substring("start", 1, 10))
+    facts = rows.where("to_entity is not null and start is not null").select(*subject, "to_entity", "start").distinct()
+    facts = facts.withColumn("day", F.floor(F.col("start") / DAY))
     w = Window.partitionBy(*subject, "day").orderBy("start", "to_entity")
     days = _next_other(facts, [*subject, "day"]).withColumn("run", F.sum(F.col("head").cast("int")).over(w))
     days = materialise(days, "days")
     heads = days.where("head and (run <= 2 or next is null)").withColumn("tail", F.col("next").isNull()).drop("next", "head", "run")
     after = _next_other(heads, subject).where("tail").select(*subject, "day", F.col("next").alias("later"))
     same = lambda x, y, cols: [F.col(f"{x}.{c}").eqNullSafe(F.col(f"{y}.{c}")) for c in cols]
-    ends = days.alias("d").join(after.alias("a"), same("d", "a", [*subject, "day"]), "left").select(*[f"d.{c}" for c in [*subject, "to_entity", "start"]], F.coalesce("d.next", "a.later").alias("end"))
-    open_ = F.coalesce(F.try_element_at("r.qualifiers", F.lit("valid_to")), F.lit("")) == ""
-    return rows.alias("r").join(ends.alias("e"), same("r", "e", [*subject, "to_entity", "start"]), "left").select("r.*", F.when(open_, F.col("e.end")).alias("closed_at"))
+    ends = days.alias("d").join(after.alias("a"), same("d", "a", [*subject, "day"]), "left")
+    ends = ends.select(*[f"d.{c}" for c in [*subject, "to_entity", "start"]], F.coalesce("d.next", "a.later").alias("end"))
+    open_ = F.trim(F.coalesce(F.try_element_at("r.qualifiers", F.lit("valid_to")), F.lit(""))) == ""
+    closed = rows.alias("r").join(ends.alias("e"), same("r", "e", [*subject, "to_entity", "start"]), "left")
+    return closed.select("r.*", F.when(open_, seconds_text(F.col("e.end"))).alias("closed_at"))
 
 
 def adjust_confidence(relations: DataFrame, deltas: DataFrame, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -192,18 +194,34 @@ def name_index(entities: DataFrame) -> DataFrame:
     return entities.where(F.col("name").isNotNull()).select("project", F.explode(terms).alias("term"), "id").distinct()
 
 
+def _grams(term: Column) -> Column:
+    """Distinct runs of three signs of a term; of a shorter one the term itself."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(term) - 2, F.lit(1)))
+    return F.array_distinct(F.transform(at, lambda i: F.substring(term, i, F.lit(3))))
+
+
 def lookup_entities(index: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, project, term, id, exact): entities named by query terms.
 
-    A term without an exact entry is looked for inside entries; those terms are matched against the
-    distinct entries of the project only. ``terms`` is the small side: (query_id, project, term).
+    A term without an exact entry is looked for inside the entries of its project: its rarest three signs choose
+    the entries that are compared. Terms of one or two signs are found by entries' own runs of so many signs.
+    ``terms`` holds (query_id, project, term).
     """
-    asked = terms.select("query_id", "project", F.lower("term").alias("term")).distinct()
+    asked = terms.select("query_id", "project", F.lower("term").alias("term")).where("term <> ''").distinct()
     exact = asked.join(index, ["project", "term"]).withColumn("exact", F.lit(True))
-    left = asked.join(index.select("project", "term").distinct(), ["project", "term"], "left_anti")
-    inside = left.withColumnRenamed("term", "asked").join(index, "project").where(F.contains("term", "asked"))
-    part = inside.select("project", F.col("asked").alias("term"), "query_id", "id").distinct().withColumn("exact", F.lit(False))
-    return exact.select("query_id", "project", "term", "id", "exact").union(part.select("query_id", "project", "term", "id", "exact"))
+    entries = index.select("project", "term").distinct()
+    left = asked.join(entries, ["project", "term"], "left_anti").withColumnRenamed("term", "asked")
+    grams = left.select("project", "asked").distinct().select("project", "asked", F.explode(_grams(F.col("asked"))).alias("gram"))
+    at = F.sequence(F.lit(1), F.length("term"))
+    runs = F.flatten(F.transform(at, lambda i: F.array(*[F.substring("term", i, F.lit(n)) for n in (1, 2, 3)])))
+    held = entries.select("project", "term", F.explode(F.array_distinct(runs)).alias("gram"))
+    held = held.join(grams.select("project", "gram").distinct(), ["project", "gram"], "left_semi")
+    count = held.groupBy("project", "gram").agg(F.count(F.lit(1)).alias("n"))
+    best = grams.join(count, ["project", "gram"]).groupBy("project", "asked").agg(F.min(F.struct("n", "gram")).alias("g"))
+    found = best.select("project", "asked", "g.gram").join(held, ["project", "gram"]).where(F.contains("term", "asked"))
+    inside = left.join(found.select("project", "asked", "term"), ["project", "asked"]).join(index, ["project", "term"])
+    part = inside.select("query_id", "project", F.col("asked").alias("term"), "id").distinct().withColumn("exact", F.lit(False))
+    return exact.select("query_id", "project", "term", "id", "exact").union(part)
 
 
 def chunks_near(mentions: DataFrame, entities: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.reduction import sums_before
 from lorekeep.sources.tables import materialise
 
 #: Distinct rows (features, label) of a group up to which one task fits it.
@@ -93,12 +94,11 @@ def calibrate_groups(rows: DataFrame, by: str, features: list[str], label: str,
 def auc(scored: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """(by..., n_pos, n_neg, auc): area under the ROC curve, ties counted half.
 
-    Scores are first counted per distinct value, so the ranking window holds distinct scores only.
-    Without both classes auc is null.
+    Scores are first counted per distinct value; ranks come from prefix sums over ranges of scores, so that a
+    hot group is spread. Without both classes auc is null.
     """
     by = by or []
     values = scored.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("q"))
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
+    ranked = sums_before(values, by, [score], "q", "below")
     total = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"))
     return total.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("u") / (F.col("n_pos") * F.col("n_neg")), 6)).alias("auc"))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.vectors import cosine
 
+#: Vectors of a block.
+PACK = 2048
+
 
 def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id") -> DataFrame:
     """(key, similarity, rank) of the k nearest vectors of one query; ties go to the lesser key.
@@ -20,20 +25,58 @@ def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_i
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))
 
 
+def _packed(vectors: DataFrame, key: str, vector: str, scope: list[str], prefix: str) -> DataFrame:
+    """(scope..., {prefix}keys, {prefix}flat): the vectors of each input batch as one row per scope."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), PACK):
+                part = b.iloc[lo : lo + PACK]
+                for s, g in part.groupby(scope, dropna=False, sort=False) if scope else [((), part)]:
+                    flat = np.concatenate([np.asarray(v, "float64") for v in g[vector]])
+                    row = {f"{prefix}keys": [g[key].to_list()], f"{prefix}flat": [flat]}
+                    yield pd.DataFrame({**dict(zip(scope, [[x] for x in s])), **row})
+
+    kinds = [f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in scope]
+    kind = vectors.schema[key].dataType.simpleString()
+    schema = ", ".join([*kinds, f"{prefix}keys array<{kind}>", f"{prefix}flat array<double>"])
+    return vectors.select(*scope, key, vector).where(F.col(vector).isNotNull()).mapInPandas(pack, schema)
+
+
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", scope: list[str] | None = None) -> DataFrame:
     """(query_id, scope..., key, similarity, rank): the k nearest vectors of each query of a stated set.
 
-    ``queries`` holds query_id, qvec and the scope columns; it is the small side and is taken against
-    all vectors, each scope's own where a scope is given. Partial top lists are made per partition of
-    the vectors first, so that a hot scope never meets in one task.
+    ``queries`` holds query_id, qvec and the scope columns. Blocks of up to PACK queries meet blocks of up to PACK
+    vectors, each scope's own where a scope is given; every pair of blocks is one matrix product that keeps k
+    vectors a query. Null vectors are left out; a vector without length has the similarity 0. Ties go to the
+    lesser key.
     """
     scope = scope or []
-    queries = queries.alias("q")
-    pairs = vectors.join(queries, scope) if scope else vectors.crossJoin(F.broadcast(queries))
-    scored = pairs.select("query_id", *scope, key, F.round(cosine(F.col("embedding"), F.col("qvec")), 6).alias("similarity"), F.pmod(F.xxhash64(key), F.lit(64)).alias("part"))
-    local = Window.partitionBy("query_id", *scope, "part").orderBy(F.desc("similarity"), key)
-    best = scored.withColumn("r", F.row_number().over(local)).where(F.col("r") <= k)
-    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", *scope).orderBy(F.desc("similarity"), key))).where(F.col("rank") <= k).select("query_id", *scope, key, "similarity", "rank")
+    known, asked = _packed(vectors, key, "embedding", scope, "v"), _packed(queries, "query_id", "qvec", scope, "q")
+    pairs = known.join(asked, scope) if scope else known.crossJoin(asked)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.to_dict("records"):
+                v, q = (np.asarray(r[f"{x}flat"]).reshape(len(r[f"{x}keys"]), -1) for x in "vq")
+                size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
+                sim = np.round(np.divide(q @ v.T, size, out=np.zeros(size.shape), where=size > 0), 6) + 0.0
+                keys = np.asarray(r["vkeys"])
+                least = np.partition(sim, -k, axis=1)[:, -k] if k < sim.shape[1] else np.full(len(q), -np.inf)
+                at, col = np.nonzero(sim >= least[:, None])
+                order = np.lexsort((keys[col], -sim[at, col], at))
+                at, col = at[order], col[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, col = at[place < k], col[place < k]
+                out = {"query_id": np.asarray(r["qkeys"])[at], **{c: [r[c]] * len(at) for c in scope}}
+                yield pd.DataFrame({**out, key: keys[col], "similarity": sim[at, col]})
+
+    fields = [("query_id", queries.schema["query_id"]), *[(c, vectors.schema[c]) for c in scope], (key, vectors.schema[key])]
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in fields) + ", similarity double"
+    best = pairs.mapInPandas(nearest, schema)
+    w = Window.partitionBy("query_id", *scope).orderBy(F.desc("similarity"), key)
+    ranked = best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return ranked.select("query_id", *scope, key, "similarity", "rank")
 
 
 def centroids(vectors: DataFrame, label: str) -> DataFrame:

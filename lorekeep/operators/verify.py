@@ -39,11 +39,21 @@ def decision(score: Column) -> Column:
 
 def cap_calls(scored: DataFrame, by: list[str], order: list[str], cap: int = CALL_CAP) -> DataFrame:
     """Adds ``level`` and ``ask``: the first ``cap`` borderline rows of a group go to the model, the rest
-    are accepted as srmkg_cap."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    line = scored.where("level = 'borderline'").withColumn("ask", F.row_number().over(w) <= cap)
-    line = line.withColumn("level", F.when(F.col("ask"), F.col("level")).otherwise("srmkg_cap"))
-    return line.unionByName(scored.where("level <> 'borderline'").withColumn("ask", F.lit(False)))
+    are accepted as srmkg_cap.
+
+    Only the first rows of each group are ranked, which every task does for its own rows first; the last of them
+    is then the limit for all rows. Equal rows beyond the cap are told apart by number.
+    """
+    line = scored.where("level = 'borderline'").withColumn("_o", F.struct(*order))
+    first = line.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("_o"))).where(F.col("_n") <= cap)
+    last = first.groupBy(*by).agg(F.max("_o").alias("_last"), F.collect_list("_o").alias("_all"))  # at most cap rows
+    last = last.select(*[F.col(c).alias(f"_{c}") for c in by], "_last", F.size(F.filter("_all", lambda x: x == F.col("_last"))).alias("_ties"))
+    on = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+    tie = F.row_number().over(Window.partitionBy(*by, *order).orderBy(F.lit(1)))
+    at = line.withColumn("_tie", tie).join(last, on)
+    ask = (F.col("_o") < F.col("_last")) | ((F.col("_o") == F.col("_last")) & (F.col("_tie") <= F.col("_ties")))
+    marked = at.withColumn("ask", ask).withColumn("level", F.when(F.col("ask"), F.col("level")).otherwise("srmkg_cap"))
+    return marked.select(*scored.columns, "ask").unionByName(scored.where("level <> 'borderline'").withColumn("ask", F.lit(False)))
 
 
 def said_confidence(upper: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import canonical_key, entity_id, fingerprint, note_doc_id
 from lorekeep.operators import chunking, edges, extraction, fusion, graph, learn, pagerank, verify
+from lorekeep.plans.problems import _STAMP, _sec
 from lorekeep.sources import files
 from lorekeep.sources.tables import materialise, table
 
@@ -137,7 +138,7 @@ def asof_facts(spark: SparkSession, d: str) -> DataFrame:
 
 def supersede_facts(spark: SparkSession, d: str) -> DataFrame:
     s = graph.supersede(_once(_rel(spark, d).select("project", "from_entity", "relation_type", "to_entity", "created_at", "qualifiers")), FUNCTIONAL)
-    return s.where("closed_at is not null").groupBy("relation_type").agg(F.count(F.lit(1)).alias("closed"), F.min("closed_at").alias("first"), F.max("closed_at").alias("last"))
+    return s.where("closed_at is not null").select("project", "from_entity", "relation_type", "to_entity", "created_at", "closed_at")
 
 
 def adjust_confidence(spark: SparkSession, d: str) -> DataFrame:
@@ -320,9 +321,10 @@ QUERIES = {
 _E = "e AS (SELECT DISTINCT * FROM entities)"
 _R = "r AS (SELECT DISTINCT * FROM relations)"
 _ASKED = "asked AS (SELECT * FROM e WHERE CAST('0x' || id AS UBIGINT) % 50 = 0)"
-_VALID = """(CASE WHEN length(coalesce(qualifiers['valid_from'], '')) = 10 THEN qualifiers['valid_from'] || 'T00:00:00Z' ELSE coalesce(qualifiers['valid_from'], '') END) AS vf,
- (CASE WHEN length(coalesce(qualifiers['valid_to'], '')) = 10 THEN qualifiers['valid_to'] || 'T23:59:59Z' ELSE coalesce(qualifiers['valid_to'], '') END) AS vt"""
-_NOW = f"now AS (SELECT * FROM (SELECT *, {_VALID} FROM relations) WHERE (vf = '' OR vf <= '2025-06-01T00:00:00Z') AND (vt = '' OR '2025-06-01T00:00:00Z' <= vt))"
+_VALID = f"""CAST({_sec("trim(qualifiers['valid_from'])")} AS BIGINT) AS vf, CAST({_sec("trim(qualifiers['valid_to'])", 86399)} AS BIGINT) AS vt"""
+_AT = "1748736000"
+_HOLDS = f"(vf IS NULL OR vf <= {_AT}) AND (vt IS NULL OR {_AT} <= vt)"
+_NOW = f"now AS (SELECT * FROM (SELECT *, {_VALID} FROM relations) WHERE {_HOLDS})"
 _BOTH = "adj AS (SELECT DISTINCT u, v FROM (SELECT from_entity AS u, to_entity AS v FROM {t} UNION ALL SELECT to_entity, from_entity FROM {t}) WHERE u <> v)"
 _HOPS = """h1 AS (SELECT id AS seed, v AS node, 1 AS hop FROM asked JOIN adj ON u = id),
 h2 AS (SELECT DISTINCT seed, v AS node, 2 AS hop FROM h1 JOIN adj ON u = node WHERE v <> seed AND (seed, v) NOT IN (SELECT (seed, node) FROM h1))"""
@@ -379,17 +381,20 @@ SELECT project, key, arg_min(name, (-ups, length(name), name)) AS name,
     "asof_neighbors": f"WITH {_E}, {_ASKED}, {_NOW}, {_BOTH.format(t='now')}, {_HOPS} SELECT * FROM h1 UNION ALL SELECT * FROM h2",
     "shortest_path": f"""WITH RECURSIVE {_E}, {_ASKED}, {_BOTH.format(t="relations")}, t AS (SELECT project, min(from_entity) AS target FROM relations GROUP BY project),
 pairs AS (SELECT id AS source, target FROM asked JOIN t USING (project) WHERE id <> target),
-walk AS (SELECT DISTINCT source, source AS node, [source] AS path FROM pairs UNION ALL SELECT source, v, list_append(path, v) FROM walk JOIN adj ON u = node WHERE len(path) <= 3 AND NOT list_contains(path, v)),
-best AS (SELECT source, node AS target, arg_min(path, (len(path), path)) AS path FROM walk GROUP BY ALL)
+walk(source, node, path) USING KEY (source, node) AS (SELECT DISTINCT source, source, [source] FROM pairs UNION
+ SELECT w.source, v, min(list_append(w.path, v)) FROM walk w JOIN adj ON u = w.node LEFT JOIN recurring.walk k ON k.source = w.source AND k.node = v WHERE k.node IS NULL GROUP BY w.source, v),
+best AS (SELECT source, node AS target, path FROM walk)
 SELECT source, target, path IS NOT NULL AS found, CAST(coalesce(len(path) - 1, -1) AS INTEGER) AS length, array_to_string(path, '>') AS path FROM pairs LEFT JOIN best USING (source, target)""",
     "asof_facts": f"""WITH {_E}, {_R}, n AS (SELECT *, {_VALID}, coalesce(qualifiers['valid_from'], '') AS valid_from, coalesce(qualifiers['valid_to'], '') AS valid_to FROM r),
-v AS (SELECT * FROM n WHERE (vf = '' OR vf <= '2025-06-01T00:00:00Z') AND (vt = '' OR '2025-06-01T00:00:00Z' <= vt)),
+v AS (SELECT * FROM n WHERE {_HOLDS}),
 b AS (SELECT from_entity AS entity, to_entity AS other, relation_type, 'outgoing' AS direction, confidence, valid_from, valid_to FROM v UNION ALL SELECT to_entity, from_entity, relation_type, 'incoming', confidence, valid_from, valid_to FROM v)
 SELECT *, valid_to = '' AS is_current FROM b WHERE entity IN (SELECT id FROM e)""",
+    # of all later facts with another target the earliest one closes a fact
     "supersede_facts": f"""WITH r AS (SELECT DISTINCT project, from_entity, relation_type, to_entity, created_at, qualifiers FROM relations WHERE relation_type IN ('located_in', 'reports_to', 'member_of')),
-s AS (SELECT *, CASE WHEN vf <> '' THEN vf ELSE coalesce(created_at, '') END AS start FROM (SELECT *, {_VALID} FROM r)),
-n AS (SELECT *, lead(to_entity) OVER w AS nt, lead(start) OVER w AS ns FROM s WINDOW w AS (PARTITION BY project, from_entity, relation_type ORDER BY start, to_entity))
-SELECT relation_type, count(*) AS closed, min(ns) AS first, max(ns) AS last FROM n WHERE coalesce(qualifiers['valid_to'], '') = '' AND nt <> to_entity GROUP BY relation_type""",
+s AS (SELECT *, coalesce(vf, CAST({_sec("trim(created_at)")} AS BIGINT)) AS start, row_number() OVER () AS n FROM (SELECT *, {_VALID} FROM r)),
+c AS (SELECT a.n, min(b.start) AS closed FROM s a JOIN s b ON a.project = b.project AND a.from_entity = b.from_entity AND a.relation_type = b.relation_type
+ WHERE b.to_entity <> a.to_entity AND (b.start, b.to_entity) > (a.start, a.to_entity) GROUP BY a.n)
+SELECT project, from_entity, relation_type, to_entity, created_at, {_STAMP.format(x="closed")} AS closed_at FROM s JOIN c USING (n) WHERE trim(coalesce(qualifiers['valid_to'], '')) = ''""",
     "adjust_confidence": f"""WITH {_R}, d AS (SELECT from_entity, round(0.02::DOUBLE / sqrt(count(*)), 6) AS delta FROM r GROUP BY from_entity HAVING round(0.02::DOUBLE / sqrt(count(*)), 6) < 0.02),
 x AS (SELECT r.*, delta, CASE WHEN delta IS NULL THEN confidence ELSE round(least(1, greatest(0, coalesce(confidence, 0.5) + delta)), 6) END AS nc FROM r LEFT JOIN d USING (from_entity))
 SELECT from_entity, count(*) FILTER (delta IS NOT NULL AND nc IS DISTINCT FROM confidence) AS changed, CAST(sum(CAST(nc AS DECIMAL(18,6))) AS DOUBLE) AS confidence FROM x GROUP BY from_entity""",

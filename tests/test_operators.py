@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.text import canonical_key, chunk_id, entity_id, fingerprint, note_doc_id, query_terms, strip
 from lorekeep.functions.vectors import cosine, or_zeros, stub_embed, truncate_norm
-from lorekeep.operators import chunking, components, edges, evaluate, extraction, fusion, graph, learn, lexical, pagerank, sessions, telemetry, verify
+from lorekeep.operators import chunking, components, edges, evaluate, extraction, fusion, graph, learn, lexical, pagerank, sessions, telemetry, vector, verify
 
 
 def one(spark, **cols):
@@ -94,7 +94,7 @@ def test_validity_and_neighbours(spark):
 def test_supersede(spark):
     rows = [rel("al", "paris", "located_in", at="2026-01-01"), rel("al", "london", "located_in", at="2026-02-01"), rel("al", "x", "uses", at="2026-03-01")]
     got = graph.supersede(spark.createDataFrame(rows, REL), ["located_in"]).where("closed_at is not null").collect()
-    assert [(r.to_entity, r.closed_at) for r in got] == [("paris", "2026-02-01")]
+    assert [(r.to_entity, r.closed_at) for r in got] == [("paris", "2026-02-01T00:00:00Z")]
 
 
 def test_shortest_path(spark):
@@ -132,11 +132,11 @@ def test_supersede_closes_repeated_facts(spark):
 
     def closed(r):
         later = [(o[8], o[2]) for o in rows if o[1] == r[1] and (o[8], o[2]) > (r[8], r[2]) and o[2] != r[2]]
-        return min(later)[0] if later and not r[9] else None
+        return min(later)[0][:10] + (min(later)[0][10:] or "T00:00:00Z") if later and not r[9] else None
 
     got = [(r.from_entity, r.to_entity, r.created_at, r.closed_at) for r in graph.supersede(spark.createDataFrame(rows, REL), ["located_in"]).collect()]
     assert sorted(got, key=repr) == sorted(((r[1], r[2], r[8], closed(r)) for r in rows), key=repr)
-    assert [g[3] for g in sorted(got, key=repr)[:3]] == ["2022-01-01", "2022-01-01", None]
+    assert [g[3] for g in sorted(got, key=repr)[:3]] == ["2022-01-01T00:00:00Z", "2022-01-01T00:00:00Z", None]
 
 
 @pytest.mark.parametrize("direction", ["both", "outgoing"])
@@ -301,3 +301,48 @@ def test_edge_scorer_learns_from_labels(spark, tmp_path):
     assert {n for p, n in value if p == "q"} == {"n_train", "n_test"}
     got = {(r.project, r.a): (r.spuriousness > 0.5, r.learned) for r in knowledge.spurious_edges_trained(spark, str(tmp_path)).collect()}
     assert got["p", "h00"] == (True, True) and got["p", "t00a"] == (False, True) and got["q", "m"] == (True, False)
+
+
+def test_sums_before_equal_plain_ones(spark):
+    from lorekeep.operators.reduction import sums_before
+
+    rows = [("hot" if i % 4 else "cold", i * 37 % 101, i % 7) for i in range(101)] + [(None, 1, 5)]
+    got = sums_before(spark.createDataFrame(rows, "g string, o int, v bigint"), ["g"], ["o"], "v", "before").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.before == sum(v for g, o, v in rows if g == r.g and o < r.o)
+
+
+def test_cap_counts_equal_rows_once(spark):
+    rows = [("p", "borderline", i // 3) for i in range(30)] + [(None, "borderline", 1)] * 4 + [("p", "srmkg_high", 0)]
+    df = spark.createDataFrame(rows, "project string, level string, at int")
+    got = verify.cap_calls(df, ["project"], ["at"], 10)
+    n = {(r.project, r.level, r.ask): r["count"] for r in got.groupBy("project", "level", "ask").count().collect()}
+    assert n == {("p", "borderline", True): 10, ("p", "srmkg_cap", False): 20, ("p", "srmkg_high", False): 1, (None, "borderline", True): 4}
+    assert sorted(r.at for r in got.where("ask and project = 'p'").collect()) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3]
+
+
+def test_lookup_inside_entries(spark):
+    index = graph.name_index(spark.createDataFrame([("1", "Memory Lane", "p"), ("2", "memo", "p"), ("3", "Memory", "q"), ("4", "x1 y", "p")], "id string, name string, project string"))
+    terms = spark.createDataFrame([(1, "p", "emo"), (2, "p", "memory"), (3, "p", "zzz"), (4, "p", "x"), (5, "p", ""), (6, "q", "mor")], "query_id int, project string, term string")
+    got = {(r.query_id, r.id, r.exact) for r in graph.lookup_entities(index, terms).collect()}
+    assert got == {(1, "1", False), (1, "2", False), (2, "1", True), (4, "4", False), (6, "3", False)}
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(vector, "PACK", 7)
+    rnd = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rnd.integers(-3, 4, 4)] if i % 11 else None, i % 3) for i in range(60)] + [(60, [0.0] * 4, 0)]
+    df = spark.createDataFrame(rows, "vec_id int, embedding array<float>, label int")
+    asked = df.where("vec_id % 5 = 1").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"), "label")
+    for scope in ([], ["label"]):
+        got = {}
+        for r in vector.search_batch(df, asked.drop("label") if not scope else asked, 4, scope=scope).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.similarity))
+        for q, v, lab in rows:
+            if q % 5 == 1 and v:
+                cos = lambda x: round(float(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x) or 1)), 6) if any(x) and any(v) else 0.0  # noqa: B023, E731
+                want = sorted((-cos(x), i) for i, x, s in rows if x and (not scope or s == lab))[:4]
+                assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
