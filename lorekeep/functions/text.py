@@ -46,7 +46,15 @@ def fingerprint(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+#: Terms of a question (fixed patterns with their groups): CamelCase words, capitalised words, back-tick spans.
+TERM_PATTERNS = (
+    (r"(?U)\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 0),
+    (r"(?U)\b[A-Z][a-zA-Z]+\b", 0),
+    (r"`([^`]+)`", 1),
+)
+
+
 def query_terms(query: Column) -> Column:
     """Distinct terms of a query in order: CamelCase words, capitalised words, back-tick spans."""
-    parts = [F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in ((r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", 0), (r"\b[A-Z][a-zA-Z]+\b", 0), (r"`([^`]+)`", 1))]
+    parts = [F.regexp_extract_all(query, F.lit(p), F.lit(g)) for p, g in TERM_PATTERNS]
     return F.array_distinct(F.concat(*parts))

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lorekeep.functions.text import chunk_id, strip
+from lorekeep.functions.text import chunk_id
 
 #: Window and overlap in tokens; a token counts as four characters.
 MAX_TOKENS, OVERLAP_TOKENS, CHARS = 400, 40, 4
@@ -18,9 +19,13 @@ MAX_TOKENS, OVERLAP_TOKENS, CHARS = 400, 40, 4
 BREAKS = ("\n\n", "\n", ". ", " ")
 
 
-def sections(text: Column) -> Column:
-    """Parts between headings of levels 1 to 3, without their marks, blank parts dropped."""
-    return F.filter(F.transform(F.split(text, r"(?m)^#{1,3}\s+"), strip), lambda s: s != "")
+#: Marks of headings of levels 1 to 3, which part sections and are dropped (fixed pattern).
+HEADING = re.compile(r"(?m)^#{1,3}\s+")
+
+
+def sections(text: str) -> list[str]:
+    """Parts between headings of levels 1 to 3, without their marks and outer blanks; blank parts are dropped."""
+    return [p for p in (x.strip() for x in HEADING.split(text)) if p]
 
 
 def _break_ends(text: str) -> list[tuple[int, list[int]]]:
@@ -43,21 +48,24 @@ def window_cuts(text: str, size: int, overlap: int) -> list[str]:
     return [p for p in out if p]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _cut_sections(parts: pd.Series) -> pd.Series:
-    size, overlap = MAX_TOKENS * CHARS, min(OVERLAP_TOKENS * CHARS, MAX_TOKENS * CHARS // 2)
-    return parts.map(lambda xs: None if xs is None else [p for x in xs for p in window_cuts(x, size, overlap)])
-
-
 def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, chunk_idx, chunk_id, text): the chunks of every document, numbered from 0.
 
-    Sections that fit the window never leave the JVM. Null, empty and blank texts have no chunks.
+    Sections and windows are cut in one pass over Arrow batches. Null, empty and blank texts have no chunks.
     """
-    parts = docs.select(key, sections(F.col(text)).alias("parts"))
-    long = F.exists("parts", lambda s: F.length(s) > MAX_TOKENS * CHARS)
-    cut = parts.select(key, "parts", long.alias("long")).select(key, F.coalesce(_cut_sections(F.when(F.col("long"), F.col("parts"))), F.col("parts")).alias("parts"))
-    each = cut.select(key, F.posexplode("parts").alias("chunk_idx", "text"))
+    size, overlap = MAX_TOKENS * CHARS, min(OVERLAP_TOKENS * CHARS, MAX_TOKENS * CHARS // 2)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pieces = [[p for s in sections(t) for p in window_cuts(s, size, overlap)] for t in b["text"]]
+            n = np.array([len(p) for p in pieces], "int64")
+            idx = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            flat = pd.Series([p for x in pieces for p in x], dtype=object)
+            yield pd.DataFrame({key: np.repeat(b[key].to_numpy(object), n), "chunk_idx": idx, "text": flat})
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(key, F.col(text).alias("text")).where("text is not null")
+    each = rows.mapInPandas(cut, f"`{key}` {kind}, chunk_idx int, text string")
     return each.select(key, "chunk_idx", chunk_id(F.col(key).cast("string"), F.col("chunk_idx")).alias("chunk_id"), "text")
 
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.operators.edges import logistic
 from lorekeep.operators.reduction import sums_before
 from lorekeep.sources.tables import materialise
 
@@ -102,3 +103,20 @@ def auc(scored: DataFrame, score: str, label: str, by: list[str] | None = None)
     ranked = sums_before(values, by, [score], "q", "below")
     total = ranked.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)).alias("u"))
     return total.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.round(F.col("u") / (F.col("n_pos") * F.col("n_neg")), 6)).alias("auc"))
+
+
+def save_weights(models: DataFrame, path: str) -> None:
+    """Store fits of ``calibrate_groups`` as one small table, in place of those stored before."""
+    materialise(models, "weights").write.mode("overwrite").parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def learned_score(rows: DataFrame, models: DataFrame, by: str, features: list[str], otherwise: Column) -> DataFrame:
+    """Adds ``learned_score``: the logistic score by the weights of a row's group, ``otherwise`` where it has none."""
+    fits = models.select(F.col(by).alias("_by"), "weights", "intercept")
+    joined = rows.join(fits, F.col(by).eqNullSafe(F.col("_by")), "left")
+    score = logistic({f: F.col("weights")[i] for i, f in enumerate(features)}, F.col("intercept"))
+    return joined.withColumn("learned_score", F.when(F.col("weights").isNotNull(), score).otherwise(otherwise)).drop("_by", "weights", "intercept")

@@ -11,8 +11,14 @@ DAY = 86400
 
 
 def distinct_calls(events: DataFrame) -> DataFrame:
-    """Calls by id, copies removed, with ``sec``, the epoch second of ts (null if unreadable)."""
-    return events.dropDuplicates(["id"]).withColumn("sec", utc_seconds(F.col("ts")))
+    """Calls by id, copies removed, with ``sec``, the epoch second of ts (null if unreadable).
+
+    Of rows of one id that differ the least counts; a null id is a call of its own.
+    """
+    rest = [c for c in events.columns if c != "id"]
+    own = F.when(F.col("id").isNull(), F.monotonically_increasing_id())
+    once = events.withColumn("_own", own).groupBy("id", "_own").agg(F.min(F.struct(*rest)).alias("_c"))
+    return once.select("id", *[F.col(f"_c.{c}").alias(c) for c in rest]).withColumn("sec", utc_seconds(F.col("ts")))
 
 
 def since(calls: DataFrame, as_of: str, days: int) -> DataFrame:

@@ -116,3 +116,39 @@ def bucket_chunks(ranked: DataFrame, similarity: str = "similarity") -> DataFram
     """Adds ``bucket``: accept from 0.7, reject below 0.3 or without a similarity, else ask the model."""
     s = F.col(similarity)
     return ranked.withColumn("bucket", F.when(s >= HIGH, "accept").when(s.isNull() | (s < LOW), "reject").otherwise("ask"))
+
+
+#: Answers of a judge on whether a context answers a question (fixed values), in the order in which they are sought.
+JUDGEMENTS = ("PARTIAL", "ANSWERED", "NO")
+
+
+def parse_judgement(answer: Column) -> Column:
+    """ANSWERED, PARTIAL, NO, or UNAVAILABLE for an empty or unreadable answer."""
+    up = F.upper(F.coalesce(answer, F.lit("")))
+    out = F.lit("UNAVAILABLE")
+    for word in reversed(JUDGEMENTS):
+        out = F.when(up.rlike(rf"\b{word}\b"), word).otherwise(out)
+    return out
+
+
+#: What an inference prompt holds at most (fixed values): signs of the session's text, and names.
+PROMPT_TEXT, PROMPT_NAMES = 2000, 30
+
+
+def inference_inputs(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(project, session_id, text, names): what a model is asked to infer relations from.
+
+    ``texts`` holds (project, session_id, text), ``names`` (project, name); a project's least names are taken.
+    """
+    w = Window.partitionBy("project").orderBy("name")
+    few = names.where("name is not null").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= PROMPT_NAMES)
+    lists = few.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    joined = texts.join(lists, "project", "left")
+    return joined.select("project", "session_id", F.substring("text", 1, PROMPT_TEXT).alias("text"), F.coalesce("names", F.lit("")).alias("names"))
+
+
+def stamped(relations: DataFrame, verifier: str, accepted: str = "accepted") -> DataFrame:
+    """The accepted relations as verified observations whose qualifiers name the verifier."""
+    own = F.map_filter(F.coalesce("qualifiers", F.create_map().cast("map<string,string>")), lambda k, _: k != "verifier")
+    marked = relations.where(F.col(accepted)).withColumn("verified", F.lit(True))
+    return marked.withColumn("qualifiers", F.map_concat(own, F.create_map(F.lit("verifier"), F.lit(verifier)))).drop(accepted)

@@ -309,12 +309,33 @@ def calibrated_scorer(spark: SparkSession, d: str) -> DataFrame:
     return _named(learn.calibrate_groups(rows, "project", features, "label", _drawn(*_KEY)), features)
 
 
+def relation_scores_trained(spark: SparkSession, d: str) -> DataFrame:
+    """Relations scored by their project's learned weights, by the heuristic where it has none."""
+    rows = _scored(spark, d)
+    features = ["base", "jaccard", "type_boost", "isolated"]
+    labelled = rows.where("verified is not null").withColumn("label", F.col("verified").cast("int"))
+    models = learn.calibrate_groups(labelled, "project", features, "label", _drawn(*_KEY))
+    return learn.learned_score(rows, models, "project", features, F.col("score")).select(*_KEY, "score", "learned_score")
+
+
+def verify_and_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Observations that a model's answers accept, stamped with their verifier and merged into the graph."""
+    key = F.struct(*_KEY)
+    judged = _answers(spark, d).withColumn("accepted", verify.parse_verdict(F.col("answer")).accepted).where("accepted")
+    said = judged.select(key.alias("_k")).distinct()
+    rows = _once(_rel(spark, d)).withColumn("_k", key)
+    accepted = rows.join(said, "_k", "left_semi").drop("_k").withColumn("accepted", F.lit(True))
+    merged = graph.merge_relations(verify.stamped(accepted, "vog"))
+    stamp = F.try_element_at("qualifiers", F.lit("verifier"))
+    return merged.groupBy("project", stamp.alias("verifier")).agg(F.count(F.lit(1)).alias("relations"), F.count_if("verified").alias("verified"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         document_ids, pending_documents, relation_insert_ignore, reconstruct_document, chunk_documents, extract_entities, document_mentions, entity_registry, entity_ids, relation_upsert, entity_upsert, delete_relation, delete_entity, khop_1, khop_2, khop_outgoing, asof_neighbors,
         shortest_path, asof_facts, supersede_facts, adjust_confidence, entity_term_lookup, chunks_near_entity, graph_search, fused_entity_search, ppr_transition, ppr_fixed_rounds, ppr_topk, edge_features, spurious_edges,
-        spurious_edges_learned, prune_isolated, review_queue, relation_scores, verification_cap, verdict_parse, relation_lines, calibrated_scorer, edge_scorer, spurious_edges_trained,
+        spurious_edges_learned, prune_isolated, review_queue, relation_scores, verification_cap, verdict_parse, relation_lines, calibrated_scorer, edge_scorer, spurious_edges_trained, relation_scores_trained, verify_and_merge,
     )
 }
 
@@ -425,6 +446,8 @@ WHERE round(abs(heuristic - 0.65::DOUBLE), 6) <= 0.25 AND CAST('0x' || md5(a ||
 SELECT project, CASE WHEN level = 'borderline' AND i > 30 THEN 'srmkg_cap' ELSE level END AS level, count(*) AS n, count(*) FILTER (level = 'borderline' AND i <= 30) AS asked FROM q GROUP BY 1, 2""",
     "verdict_parse": f"""WITH {_R}, v AS (SELECT CASE WHEN verified THEN 'GROUNDED' WHEN NOT verified THEN 'PARTIAL' ELSE 'REJECTED' END AS verdict, CAST(printf('%.2f', floor(coalesce(confidence, 0.5) * 100) / 100) AS DOUBLE) AS c FROM r)
 SELECT verdict, verdict <> 'REJECTED' AS accepted, count(*) AS n, round(avg(CASE verdict WHEN 'GROUNDED' THEN c WHEN 'PARTIAL' THEN round(c * 0.6::DOUBLE, 4) ELSE 0 END), 4) AS confidence FROM v GROUP BY ALL""",
+    "verify_and_merge": """SELECT project, 'vog' AS verifier, count(DISTINCT (from_entity, relation_type, to_entity)) AS relations, count(DISTINCT (from_entity, relation_type, to_entity)) AS verified
+FROM relations r WHERE EXISTS (SELECT 1 FROM relations s WHERE s.verified IS NOT NULL AND s.project IS NOT DISTINCT FROM r.project AND s.from_entity IS NOT DISTINCT FROM r.from_entity AND s.relation_type IS NOT DISTINCT FROM r.relation_type AND s.to_entity IS NOT DISTINCT FROM r.to_entity AND s.created_at IS NOT DISTINCT FROM r.created_at) GROUP BY project""",
     "relation_lines": """WITH t AS (SELECT session_id, from_entity, relation_type, to_entity, confidence, from_entity || ' -[' || upper(relation_type) || ']-> ' || to_entity || ' | CONFIDENCE: ' || printf('%.2f', floor(coalesce(confidence, 0.5) * 100) / 100) AS l FROM relations WHERE session_id <> '' AND relation_type IS NOT NULL)
 SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY l) - 1 AS INTEGER) AS line, from_entity AS source, relation_type, to_entity AS target, coalesce(CAST(printf('%.2f', floor(confidence * 100) / 100) AS DOUBLE), 0.5) AS confidence FROM t""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lorekeep.plans import knowledge, problems, retrieval, usage
+from lorekeep.plans import agent, knowledge, problems, retrieval, usage
 
-MODULES = [problems, retrieval, usage, knowledge]
+MODULES = [problems, retrieval, usage, knowledge, agent]
 
 
 def core_queries() -> dict:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions.vectors import truncate_norm
+from lorekeep.functions.vectors import stub_embed, truncate_norm
 from lorekeep.operators import chunking, evaluate, fusion, lexical, vector, verify
 from lorekeep.sources.tables import table
 
 TOP = 10
+#: Components of the deterministic embeddings of texts.
+DIM = 16
 
 
 def _title(text):
@@ -76,8 +78,16 @@ def truncated_vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 
+def _dense_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, doc_id, similarity, rank): documents nearest to each title by the embeddings of their texts."""
+    docs = table(spark, d, "documents").where("text is not null")
+    known = docs.select("doc_id", stub_embed(F.col("text"), DIM).alias("embedding"))
+    asked = _queries(docs).select("query_id", stub_embed(F.col("query"), DIM).alias("qvec"))
+    return vector.search_batch(known, asked, TOP, "doc_id")
+
+
 def _arms(spark: SparkSession, d: str) -> list[DataFrame]:
-    dense = _dense(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "rank")
+    dense = _dense_texts(spark, d).select("query_id", "doc_id", "rank")
     return [dense, _lexical(spark, d).select("query_id", "doc_id", "rank")]
 
 
@@ -88,7 +98,7 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_verified(spark: SparkSession, d: str) -> DataFrame:
     fused = hybrid_search(spark, d)
-    sim = _dense(spark, d).select("query_id", F.col("vec_id").alias("doc_id"), "similarity")
+    sim = _dense_texts(spark, d).select("query_id", "doc_id", "similarity")
     return verify.bucket_chunks(fused.join(sim, ["query_id", "doc_id"], "left")).select("query_id", "doc_id", "rank", "similarity", "bucket")
 
 
@@ -99,6 +109,7 @@ def search_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Known-item search: each title should find its own document. ``retrieval_ablation`` has independent gold."""
     ranked = hybrid_search(spark, d).select("query_id", F.col("doc_id").alias("doc"), "rank")
     gold = _queries(table(spark, d, "documents")).select("query_id", F.col("query_id").alias("doc"))
     return evaluate.rank_metrics(ranked, gold)
@@ -125,8 +136,14 @@ _DENSE = f"""
 v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
 dense AS (SELECT * FROM (SELECT query_id, vec_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM
   (SELECT q.vec_id AS query_id, v.vec_id, round({_COS.format(a="v.e", b="q.e")}, 6) AS similarity FROM v, v q WHERE q.vec_id % 50 = 0)) WHERE rank <= 10)"""
-_FUSED = f"""{_BM25}, {_DENSE},
-arms AS (SELECT query_id, vec_id AS doc_id, rank, 0 AS arm FROM dense UNION ALL SELECT query_id, doc_id, rank, 1 FROM lex),
+_STUB = "list_transform(range(16), lambda i: (CAST('0x' || substr(sha256({x}), CAST(i * 2 + 1 AS INTEGER), 2) AS INTEGER) - 128) / 128.0::DOUBLE)"
+_DENSE_TEXTS = f"""
+ev AS (SELECT doc_id, {_STUB.format(x="text")} AS e FROM documents WHERE text IS NOT NULL),
+qv AS (SELECT doc_id AS query_id, {_STUB.format(x="split_part(text, chr(10), 1)")} AS e FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),
+dense AS (SELECT * FROM (SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM
+  (SELECT query_id, doc_id, round({_COS.format(a="ev.e", b="qv.e")}, 6) AS similarity FROM ev, qv)) WHERE rank <= 10)"""
+_FUSED = f"""{_BM25}, {_DENSE_TEXTS},
+arms AS (SELECT query_id, doc_id, rank, 0 AS arm FROM dense UNION ALL SELECT query_id, doc_id, rank, 1 FROM lex),
 fused AS (SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, arm, first, doc_id) AS rank FROM
   (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(arm) AS arm, arg_min(rank, arm) AS first FROM arms GROUP BY query_id, doc_id)) WHERE rank <= 10)"""
 _CLASS = f"""
@@ -159,7 +176,7 @@ SELECT vec_id, unnest(range(len(e)))::INTEGER AS pos, round(unnest(e) / sqrt(lis
     "hybrid_search": f"WITH {_FUSED} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM fused",
     "hybrid_verified": f"""WITH {_FUSED} SELECT f.query_id, f.doc_id, CAST(f.rank AS INTEGER) AS rank, similarity,
 CASE WHEN similarity >= 0.7 THEN 'accept' WHEN similarity IS NULL OR similarity < 0.3 THEN 'reject' ELSE 'ask' END AS bucket
-FROM fused f LEFT JOIN dense ON f.query_id = dense.query_id AND f.doc_id = dense.vec_id""",
+FROM fused f LEFT JOIN dense USING (query_id, doc_id)""",
     "search_context": f"""WITH {_FUSED} SELECT query_id, string_agg('[' || rank || '] Source: ' || coalesce(source, '') || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context
 FROM fused JOIN documents USING (doc_id) WHERE rank <= 3 GROUP BY query_id""",
     "retrieval_metrics": f"""WITH {_FUSED}, g AS (SELECT doc_id FROM documents WHERE doc_id % 50 = 0 AND text IS NOT NULL),

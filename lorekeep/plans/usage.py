@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import evaluate, learn, sessions, telemetry
+from lorekeep.operators import evaluate, learn, sessions, telemetry, verify
 from lorekeep.plans.problems import _sec
 from lorekeep.sources.tables import table
 
@@ -91,6 +91,11 @@ def last_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions.newest_sessions(s.where("project is not null"), 20)
 
 
+def inference_inputs(spark: SparkSession, d: str) -> DataFrame:
+    texts = session_text(spark, d).where("project is not null")
+    return verify.inference_inputs(texts, table(spark, d, "entities").select("project", "name"))
+
+
 def shadow_baseline(spark: SparkSession, d: str) -> DataFrame:
     """Words of each project's 20 most similar chunks: what a plain top-k retrieval would inject."""
     from lorekeep.operators.lexical import top_k
@@ -103,7 +108,7 @@ def shadow_baseline(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (usage_stats, usage_last_30_days, usage_by_project, savings_by_tool, raw_events_latest, entity_reuse, consolidate_reuse, distinct_projects, latency_percentiles, vog_auc, session_entries, session_merge, session_prep, session_text, last_sessions, shadow_baseline)
+    for f in (usage_stats, usage_last_30_days, usage_by_project, savings_by_tool, raw_events_latest, entity_reuse, consolidate_reuse, distinct_projects, latency_percentiles, vog_auc, session_entries, session_merge, session_prep, session_text, last_sessions, inference_inputs, shadow_baseline)
 }
 
 _CALLS = f"c AS (SELECT *, CAST({_sec('ts')} AS BIGINT) AS sec FROM (SELECT DISTINCT ON (id) * FROM telemetry_events))"
@@ -159,3 +164,6 @@ SELECT project, session_id, max(last_seen_at) AS updated_at, CAST(sum(repeat_cou
 b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY project ORDER BY s DESC, id) <= 20)
 SELECT project, count(*) AS chunks, CAST(sum(len(regexp_extract_all(text, '[^ \t\r\n]+'))) AS BIGINT) AS tokens FROM b GROUP BY project""",
 }
+SQL["inference_inputs"] = f"""WITH t AS ({SQL["session_text"]}), n AS (SELECT project, name, row_number() OVER (PARTITION BY project ORDER BY name) AS i FROM (SELECT DISTINCT project, name FROM entities WHERE name IS NOT NULL)),
+l AS (SELECT project, string_agg(name, ', ' ORDER BY name) AS names FROM n WHERE i <= 30 GROUP BY project)
+SELECT t.project, session_id, substring(text, 1, 2000) AS text, coalesce(names, '') AS names FROM t LEFT JOIN l ON l.project = t.project WHERE t.project IS NOT NULL"""

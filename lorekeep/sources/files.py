@@ -37,6 +37,26 @@ def read_markdown(spark: SparkSession, path: str, recursive: bool = True) -> Dat
     return raw.select("path", path_doc_id(F.col("path")).alias("doc_id"), F.concat(F.col("length"), F.lit(":"), F.sha2("content", 256)).alias("fingerprint"), F.decode("content", "UTF-8").alias("text"))
 
 
+def ingest_totals(found: DataFrame, todo: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(files, skipped, empty, unreadable, chunks): what a scan of a folder came to.
+
+    ``found`` and ``todo`` hold the files of ``read_markdown``, all and pending, ``chunks`` what was cut from them. A
+    file that is no valid UTF-8 is read with replacement signs and counted as unreadable; it stops no other.
+    """
+    one = lambda df, name, cond=None: df.agg((F.count(F.lit(1)) if cond is None else F.count_if(cond)).alias(name))
+    parts = [
+        one(found, "files"),
+        one(found.join(todo.select("path"), "path", "left_anti"), "skipped"),
+        one(found, "empty", strip(F.coalesce("text", F.lit(""))) == ""),
+        one(found, "unreadable", F.contains("text", F.lit("\ufffd"))),
+        one(chunks, "chunks"),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(F.broadcast(p))  # one row each
+    return out
+
+
 def pending(files: DataFrame, done: DataFrame) -> DataFrame:
     """Files that are new or whose content changed since their last ingest; ``done`` holds (path, fingerprint)."""
     return files.join(done.select("path", "fingerprint"), ["path", "fingerprint"], "left_anti")
@@ -79,8 +99,10 @@ def prechunked(payloads: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Da
 
 
 def insert_ignore(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The table with those rows whose keys it does not hold yet; of new rows with equal keys one is kept."""
-    fresh = rows.dropDuplicates(keys).join(table.select(*keys), keys, "left_anti")
+    """The table with those rows whose keys it does not hold yet; of new rows with equal keys the least is kept."""
+    rest = [c for c in table.columns if c not in keys]
+    least = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
+    fresh = least.join(table.select(*keys), keys, "left_anti")
     return table.unionByName(fresh.select(*table.columns))
 
 
@@ -146,15 +168,22 @@ def import_project(spark: SparkSession, path: str, secret: str, issuers: set[str
     return head, rows.select("kind", "row")
 
 
-def embed_texts(rows: DataFrame, text: str, model, out: str = "embedding") -> DataFrame:
-    """Adds embeddings by an injected function list[str] -> list[list[float]]; a failing batch gives nulls."""
+def imported_table(rows: DataFrame, kind: str, schema: str, project: str | None = None) -> DataFrame:
+    """One table of an import's rows (kind, row), under another ``project`` if one is given."""
+    out = rows.where(F.col("kind") == kind).select(F.from_json("row", schema).alias("r")).select("r.*")
+    return out if project is None else out.withColumn("project", F.lit(project))
+
+
+def embed_texts(rows: DataFrame, text: str, model, out: str = "embedding", dim: int | None = None) -> DataFrame:
+    """Adds embeddings by an injected function list[str] -> list[list[float]]; a failing batch gives nulls, or with
+    ``dim`` vectors of zeros, which are similar to nothing."""
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             try:
                 vectors = list(model(b[text].fillna("").to_list()))
             except Exception:
-                vectors = [None] * len(b)
+                vectors = [None if dim is None else [0.0] * dim] * len(b)
             yield b.assign(**{out: vectors})
 
     return rows.mapInPandas(embed, T.StructType([*rows.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))

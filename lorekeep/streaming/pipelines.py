@@ -56,3 +56,10 @@ def keep_rolling_nodes(events: DataFrame, nodes_path: str, checkpoint: str) -> S
 def rolling_nodes(spark: SparkSession, nodes_path: str) -> DataFrame:
     """The nodes of the tree that ``keep_rolling_nodes`` stores."""
     return rolling.read_nodes(spark, nodes_path)
+
+
+def log_events(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append new calls to the telemetry table, split by day of the call; the checkpoint keeps each batch single."""
+    dated = events.withColumn("day", F.coalesce(F.date_format("at", "yyyy-MM-dd"), F.lit("unreadable"))).drop("at")
+    sink = dated.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", path)
+    return sink.partitionBy("day").trigger(availableNow=True).start()
