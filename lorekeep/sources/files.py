@@ -34,7 +34,7 @@ def read_markdown(spark: SparkSession, path: str, recursive: bool = True) -> Dat
     """(path, doc_id, fingerprint, text) of the Markdown files below a folder or of one file."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", str(recursive).lower())
     raw = reader.load(path)
-    return raw.select("path", path_doc_id(F.col("path")).alias("doc_id"), F.concat(F.col("length"), F.lit(":"), F.sha2("content", 256)).alias("fingerprint"), F.decode("content", "UTF-8").alias("text"))
+    return raw.select("path", path_doc_id(F.col("path")).alias("doc_id"), F.concat(F.col("length"), F.lit(":"), F.sha2("content", 256)).alias("fingerprint"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def ingest_totals(found: DataFrame, todo: DataFrame, chunks: DataFrame) -> DataFrame:
