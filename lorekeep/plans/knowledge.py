@@ -297,9 +297,11 @@ def verdict_parse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def relation_lines(spark: SparkSession, d: str) -> DataFrame:
-    line = F.concat("from_entity", F.lit(" -["), F.upper("relation_type"), F.lit("]-> "), "to_entity", F.format_string(" | CONFIDENCE: %.2f", F.floor(F.coalesce("confidence", F.lit(0.5)) * 100) / 100))
-    text = _rel(spark, d).where("session_id <> ''").groupBy("session_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("answer"))
-    return verify.parse_relation_lines(text, ["session_id"])
+    """Every relation spelled as a line of an answer, and read back."""
+    conf = F.format_string(" | CONFIDENCE: %.2f", F.floor(F.coalesce("confidence", F.lit(0.5)) * 100) / 100)
+    line = F.concat("from_entity", F.lit(" -["), F.upper("relation_type"), F.lit("]-> "), "to_entity", conf)
+    answers = _rel(spark, d).where("session_id <> ''").select("session_id", line.alias("answer"))
+    return verify.parse_relation_lines(answers, ["session_id"])
 
 
 def calibrated_scorer(spark: SparkSession, d: str) -> DataFrame:
@@ -448,6 +450,6 @@ SELECT project, CASE WHEN level = 'borderline' AND i > 30 THEN 'srmkg_cap' ELSE
 SELECT verdict, verdict <> 'REJECTED' AS accepted, count(*) AS n, round(avg(CASE verdict WHEN 'GROUNDED' THEN c WHEN 'PARTIAL' THEN round(c * 0.6::DOUBLE, 4) ELSE 0 END), 4) AS confidence FROM v GROUP BY ALL""",
     "verify_and_merge": """SELECT project, 'vog' AS verifier, count(DISTINCT (from_entity, relation_type, to_entity)) AS relations, count(DISTINCT (from_entity, relation_type, to_entity)) AS verified
 FROM relations r WHERE EXISTS (SELECT 1 FROM relations s WHERE s.verified IS NOT NULL AND s.project IS NOT DISTINCT FROM r.project AND s.from_entity IS NOT DISTINCT FROM r.from_entity AND s.relation_type IS NOT DISTINCT FROM r.relation_type AND s.to_entity IS NOT DISTINCT FROM r.to_entity AND s.created_at IS NOT DISTINCT FROM r.created_at) GROUP BY project""",
-    "relation_lines": """WITH t AS (SELECT session_id, from_entity, relation_type, to_entity, confidence, from_entity || ' -[' || upper(relation_type) || ']-> ' || to_entity || ' | CONFIDENCE: ' || printf('%.2f', floor(coalesce(confidence, 0.5) * 100) / 100) AS l FROM relations WHERE session_id <> '' AND relation_type IS NOT NULL)
-SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY l) - 1 AS INTEGER) AS line, from_entity AS source, relation_type, to_entity AS target, coalesce(CAST(printf('%.2f', floor(confidence * 100) / 100) AS DOUBLE), 0.5) AS confidence FROM t""",
+    "relation_lines": """WITH t AS (SELECT session_id, from_entity, relation_type, to_entity, confidence FROM relations WHERE session_id <> '' AND relation_type IS NOT NULL)
+SELECT session_id, 0 AS line, from_entity AS source, relation_type, to_entity AS target, coalesce(CAST(printf('%.2f', floor(confidence * 100) / 100) AS DOUBLE), 0.5) AS confidence FROM t""",
 }
