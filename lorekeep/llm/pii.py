@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -139,6 +140,7 @@ WIDTH = len(KINDS) + NAME_WIDTH + SPAN_WIDTH + SLOTS
 _GIVEN_AT, _RARE_AT = (5, 6, 7), 9
 _KIND = {k: i for i, k in enumerate(KINDS)}
 _CANDIDATE = "kind tinyint, start_pos bigint, end_pos bigint, f array<float>, c array<bigint>, label double"
+_COLUMNS = [x.split()[0] for x in _CANDIDATE.split(", ")]
 
 
 class Words:
@@ -173,6 +175,7 @@ class Marks:
         self.dotted = page.dot & (page.size == 1) & ~self.glued
         self.link = page.blank | self.dotted | page.comma
         self.ends = np.flatnonzero((page.kind & LINE) > 0)
+        self.word_line = np.searchsorted(self.ends, page.start)
 
     def line(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at)
@@ -185,17 +188,19 @@ def _name_runs(m: Marks) -> Iterator[tuple[np.ndarray, int]]:
     single = p.initial | (p.lower & m.dotted)
     titled = np.zeros(n, bool)
     titled[1:] = m.title[:-1] & (p.blank | p.dot)[:-1]
+    minor = p.lower & (m.known | (m.rare & (p.size >= 4)))
+    fit = (p.cap | p.initial | m.particle | minor | single) & ~m.glued
     for k in range(2, WORDS_OF_NAME + 1):
         if n < k:
             break
-        i = np.arange(n - k + 1)
+        i = np.flatnonzero(fit[: n - k + 1] & m.link[: n - k + 1])
+        for t in range(1, k):
+            i = i[fit[i + t] & (m.link[i + t] & ~p.comma[i + t] if t < k - 1 else True)]
         at = i[:, None] + np.arange(k)
-        linked = m.link[at[:, :-1]].all(axis=1) & ~p.comma[at[:, 1:-1]].any(axis=1) & ~m.glued[at].any(axis=1)
-        i, at = i[linked], at[linked]
         outer = ~m.particle[at[:, -1]] & (~m.particle[i] | titled[i])  # a surname with its particle after a title
         large = (p.cap | p.initial)[at] | m.particle[at]
         upper = large.all(axis=1) & outer & p.cap[at].any(axis=1)
-        small = (p.lower & (m.known | (m.rare & (p.size >= 4))))[at] | m.particle[at] | single[at]
+        small = minor[at] | m.particle[at] | single[at]
         lower = small.all(axis=1) & outer & (m.rare[at] & (p.size >= 4)[at]).any(axis=1) & ~p.cap[at].any(axis=1)
         yield i[upper | lower], k
     # one word: after a title, or the last of its text
@@ -226,9 +231,8 @@ def _names(m: Marks) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         end = p.end[j] + (single[:, -1] & (p.codes[np.minimum(p.end[j], len(p.codes) - 1)] == ord(".")))
         start = p.start[i]
         text = p.text_of(start)
-        line, stop = m.line(start), m.line(end)
-        line_start = (i == 0) | (m.line(p.start[before]) < line)
-        line_end = (j + 1 >= n) | (m.line(p.start[after]) > stop)
+        line_start = (i == 0) | (m.word_line[before] < m.word_line[i])
+        line_end = (j + 1 >= n) | (m.word_line[after] > m.word_line[j])
         text_end = (j + 1 >= n) | (p.start[after] >= p.last[text])
         prev, nxt = p.codes[np.maximum(start - 1, 0)], p.codes[np.minimum(end, len(p.codes) - 1)]
         known, common = m.known[at], m.common[at] & ~single
@@ -380,7 +384,7 @@ def _spans(m: Marks, w: Words) -> tuple[list, np.ndarray, np.ndarray, np.ndarray
             other = p.cap[own] & ~np.array([bool(STREETS.fullmatch(text[p.start[i] : p.end[i]])) for i in words], bool)
             named, common = int(other.sum()), int((m.common[own] & other).sum())
         elif kind != "email":
-            near = [i for i in range(max(first[x] - 3, 0), first[x]) if m.id[i] and m.line(p.start[i]) == line[x]]
+            near = [i for i in range(max(first[x] - 3, 0), first[x]) if m.id[i] and m.word_line[i] == line[x]]
             announced = bool(near) and not any(c.isdigit() for c in text[p.end[near[-1]] : lo])
         f.append(_span_features(kind, s, prev, nxt, named, common))
         label.append(_span_label(kind, s, found[kind, lo, hi], nxt, announced, named, common))
@@ -400,7 +404,7 @@ def _context(m: Marks, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     def word(i: np.ndarray, at: np.ndarray) -> np.ndarray:
         ok = (i >= 0) & (i < n)
         i = np.clip(i, 0, n - 1)
-        return np.where(ok & (m.line(p.start[i]) == at), p.hash[i], np.uint64(1))
+        return np.where(ok & (m.word_line[i] == at), p.hash[i], np.uint64(1))
 
     p1, p2, n1, n2 = word(left, line), word(left - 1, line), word(right, stop), word(right + 1, stop)
     both = lambda x, y: mix(x * np.uint64(31) + y)
@@ -489,20 +493,27 @@ def candidates(docs: DataFrame, words: Words) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = b.text.to_list()
+    def find(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            texts, ids = b.column("text").to_pylist(), b.column("doc_id")
             for lo, hi in _slices(texts):
                 text, kind, start, end, f, c, label = _read(texts[lo:hi], shared.value)
-                yield pd.DataFrame(
-                    {
-                        "doc_id": b.doc_id.iloc[lo:hi].to_numpy()[text], "kind": kind, "start_pos": start, "end_pos": end,
-                        "f": list(f), "c": list(c), "label": pd.array(np.where(np.isnan(label), None, label), "Float64"),
-                    }
-                )
+                numbers = [pa.array(kind), pa.array(start), pa.array(end), _lists(f), _lists(c)]
+                labels = pa.array(label, mask=np.isnan(label))
+                yield pa.record_batch([ids[lo:hi].take(pa.array(text)), *numbers, labels], names=["doc_id", *_COLUMNS])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {_CANDIDATE}"
-    return docs.select("doc_id", "text").where("text is not null and text <> ''").mapInPandas(find, schema)
+    return docs.select("doc_id", "text").where("text is not null and text <> ''").mapInArrow(find, schema)
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    offsets = np.arange(len(rows) + 1, dtype="int32") * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))
+
+
+def _matrix(lists: pa.Array, width: int) -> np.ndarray:
+    return lists.flatten().to_numpy().reshape(-1, width)
 
 
 def context_odds(spans: DataFrame) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
@@ -528,24 +539,23 @@ def with_features(spans: DataFrame, odds: dict, hide: bool = False) -> DataFrame
     shared = spans.sparkSession.sparkContext.broadcast(odds)
     kept = [c for c in spans.columns if c not in ("f", "c")]
 
-    def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if not len(b):
-                continue
-            f, c, kind = np.stack(b.f.to_list()), np.stack(b.c.to_list()), b.kind.to_numpy()
-            all_ = np.concatenate([f, np.zeros((len(b), SLOTS), "float32")], 1)
+    def fill(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in source:
+            f, c = _matrix(b.column("f"), WIDTH - SLOTS), _matrix(b.column("c"), SLOTS)
+            kind, every = b.column("kind").to_numpy(), np.zeros((len(f), WIDTH))
+            every[:, : WIDTH - SLOTS] = f
             for (k, slot), (h, value) in shared.value.items():
                 rows = np.flatnonzero(kind == k)
                 at = np.minimum(np.searchsorted(h, c[rows, slot]), len(h) - 1)
-                all_[rows, WIDTH - SLOTS + slot] = np.where(h[at] == c[rows, slot], value[at], 0)
+                every[rows, WIDTH - SLOTS + slot] = np.where(h[at] == c[rows, slot], value[at], 0)
             if hide:
                 given, rare = [len(KINDS) + x for x in _GIVEN_AT], len(KINDS) + _RARE_AT
-                all_[:, rare] += all_[:, given[-1]]
-                all_[:, given] = 0
-            yield b[kept].assign(features=list(all_.astype("float64")))
+                every[:, rare] += every[:, given[-1]]
+                every[:, given] = 0
+            yield pa.record_batch([*[b.column(x) for x in kept], _lists(every)], names=[*kept, "features"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spans.schema if f.name in kept)
-    return spans.mapInPandas(fill, schema + ", features array<double>").withColumn("vector", array_to_vector("features"))
+    return spans.mapInArrow(fill, schema + ", features array<double>").withColumn("vector", array_to_vector("features"))
 
 
 def fit(spans: DataFrame, odds: dict) -> GBTClassificationModel | None:
