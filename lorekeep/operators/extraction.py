@@ -11,6 +11,7 @@ from lorekeep.functions.text import canonical_key, entity_id
 
 # Words that no capitalised phrase may contain.
 STOP_WORDS = "the a an in on at to for of and or is are was were it this that with from".split()
+# Fixed patterns of names.
 PHRASE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){1,3}\b"
 CAMEL = r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b"
 BACKTICK = r"`([^`]{2,40})`"

@@ -373,15 +373,54 @@ last AS (SELECT project, from_entity, relation_type, to_entity, q.key AS k, arg_
 maps AS (SELECT project, from_entity, relation_type, to_entity, string_agg(k || '=' || v, ';' ORDER BY k) AS qualifiers FROM last GROUP BY ALL)"""
 
 
-def _ppr_sql(rounds: int) -> str:
+def _ppr_rounds(rounds: int) -> str:
     out = f"WITH {_E}, {_ASKED}, {_TRANS}, n AS (SELECT id AS node, CASE WHEN id IN (SELECT id FROM asked) THEN 1.0::DOUBLE / (SELECT count(*) FROM asked) ELSE 0 END AS s, id IN (SELECT u FROM p) AS live FROM (SELECT DISTINCT id FROM e)), r0 AS MATERIALIZED (SELECT node, s AS score FROM n)"
     for i in range(rounds):
         out += f""", f{i} AS (SELECT v AS node, sum(p * score) AS f FROM p JOIN r{i} ON u = node GROUP BY v), d{i} AS (SELECT coalesce(sum(score), 0) AS lost FROM r{i} JOIN n USING (node) WHERE NOT live),
 r{i + 1} AS MATERIALIZED (SELECT n.node, 0.5::DOUBLE * (coalesce(f, 0) + lost / (SELECT count(*) FROM n)) + 0.5::DOUBLE * s AS score FROM n LEFT JOIN f{i} USING (node), d{i})"""
-    return out + f" SELECT node, round(score, 6) AS score FROM r{rounds} WHERE score > 0"
+    return out
+
 
+def _ppr_sql(rounds: int) -> str:
+    return _ppr_rounds(rounds) + f" SELECT node, round(score, 6) AS score FROM r{rounds} WHERE score > 0"
+
+
+def _ppr_converged(rounds: int) -> str:
+    """The first round that moves less than the tolerance; each halves what is left, so few can be needed."""
+    moved = " UNION ALL ".join(f"SELECT {i} AS i, sum(abs(a.score - b.score)) AS g FROM r{i} a JOIN r{i - 1} b USING (node)" for i in range(1, rounds + 1))
+    chosen = " UNION ALL ".join(f"SELECT * FROM r{i} WHERE (SELECT i FROM pick) = {i}" for i in range(1, rounds + 1))
+    return _ppr_rounds(rounds) + f""", pick AS (SELECT min(i) AS i FROM ({moved}) WHERE g < 0.0001),
+res AS (SELECT node, round(score, 6) AS score FROM ({chosen}) WHERE score > 0),
+top AS (SELECT node, score, CAST(row_number() OVER (ORDER BY score DESC, node) AS INTEGER) AS rank FROM res) SELECT * FROM top WHERE rank <= 30"""
+
+
+# letters beyond ASCII stand as "_", other signs as none, so that word bounds are those of Unicode
+_FORMS = rf"""plain AS (SELECT doc_id, project, text, regexp_replace(regexp_replace(text, '[^\x00-\x7F\p{{L}}\p{{N}}\p{{M}}]', chr(1), 'g'), '[^\x00-\x7F]', '_', 'g') AS a FROM documents WHERE text IS NOT NULL),
+lists AS (SELECT doc_id, project, list_concat(
+  list_transform(list_filter(regexp_extract_all(a, '{extraction.PHRASE}'), lambda p: NOT list_has_any(regexp_split_to_array(lower(p), '\s+'), {extraction.STOP_WORDS})), lambda n: {{'name': n, 'type': 'concept'}}),
+  list_transform(regexp_extract_all(a, '{extraction.CAMEL}'), lambda n: {{'name': n, 'type': 'identifier'}}),
+  list_transform(regexp_extract_all(text, '{extraction.BACKTICK}', 1), lambda n: {{'name': n, 'type': 'code'}})) AS f FROM plain),
+forms AS (SELECT doc_id, project, pos - 1 AS pos, n.name AS name, n.type AS type, regexp_replace(lower(n.name), '[^a-z0-9]+', '', 'g') AS key
+  FROM (SELECT doc_id, project, unnest(f) AS n, generate_subscripts(f, 1) AS pos FROM lists))"""
+
+_WS = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
+_STRIP = f"regexp_replace({{x}}, '^{_WS}+|{_WS}+$', '', 'g')".replace("p{Z}", "p{{Z}}")
+#: End of the last break in the back half of a window, counted in characters of the section.
+_BREAK = "b + 800 + length(nullif(regexp_extract(s[b + 801 : e], '(?s)^.*{sep}'), ''))"
+_WINDOWS = f"""
+part AS (SELECT doc_id, unnest(regexp_split_to_array(text, '(?m)^#{{1,3}}{_WS}+')) AS raw, generate_subscripts(regexp_split_to_array(text, '(?m)^#{{1,3}}{_WS}+'), 1) AS sec FROM documents WHERE text IS NOT NULL),
+sect AS (SELECT doc_id, sec, {_STRIP.format(x="raw")} AS s FROM part),
+step AS (SELECT doc_id, sec, s, -1 AS n, 0 AS b, 0 AS stop, 0 AS nxt FROM sect WHERE s <> ''
+  UNION ALL SELECT doc_id, sec, s, n + 1, b, stop, greatest(stop - 160, b + 1) FROM
+  (SELECT *, CASE WHEN e >= length(s) THEN length(s) ELSE coalesce({", ".join(_BREAK.format(sep=x) for x in (chr(92) + "n" + chr(92) + "n", chr(92) + "n", "[.] ", " "))}, e) END AS stop FROM
+   (SELECT doc_id, sec, s, n, nxt AS b, least(nxt + 1600, length(s)) AS e FROM step WHERE n = -1 OR stop < length(s)))),
+piece AS (SELECT doc_id, sec, n, {_STRIP.format(x="s[b + 1 : stop]")} AS text FROM step WHERE n >= 0)"""
 
 SQL = {
+    "chunk_documents": f"""WITH RECURSIVE {_WINDOWS}, d AS (SELECT doc_id, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sec, n) - 1 AS INTEGER) AS chunk_idx FROM piece WHERE text <> '')
+SELECT doc_id, chunk_idx, md5(doc_id || ':' || chunk_idx) AS chunk_id, text FROM d""",
+    "extract_entities": f"WITH {_FORMS} SELECT doc_id, CAST(pos AS INTEGER) AS pos, name, type FROM forms WHERE key <> ''",
+    "document_mentions": f"WITH {_FORMS} SELECT DISTINCT doc_id, md5(project || ':' || key)[1:12] AS entity_id FROM forms WHERE key <> '' AND project IS NOT NULL",
     "document_ids": "SELECT doc_id, sha256(coalesce(source, '') || ':' || substring(text, 1, 256))[1:16] AS note_id, sha256(text)[1:16] AS fingerprint FROM documents WHERE text IS NOT NULL",
     "pending_documents": """WITH t AS (SELECT doc_id, coalesce(source, '') AS path, sha256(text)[1:16] AS fingerprint, created_at FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, path, fingerprint FROM t ANTI JOIN (SELECT path, fingerprint FROM t WHERE created_at < TIMESTAMPTZ '2026-05-01 00:00:00+00') k USING (path, fingerprint)""",
@@ -436,6 +475,7 @@ f AS (SELECT seed, node, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min(
 SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (SELECT seed, node, score, row_number() OVER (PARTITION BY seed ORDER BY score DESC, arm, first, node) AS rank FROM f) WHERE rank <= 10""",
     "ppr_transition": f"WITH {_TRANS} SELECT u, v, round(p, 6) AS p FROM p",
     "ppr_fixed_rounds": _ppr_sql(3),
+    "ppr_topk": _ppr_converged(17),
     "edge_features": f"WITH {_FEAT} SELECT * FROM feat",
     "spurious_edges": f"WITH {_FEAT} SELECT a, b, heuristic AS spuriousness FROM feat WHERE heuristic >= 0.65",
     "spurious_edges_learned": f"WITH {_FEAT}, z AS (SELECT a, b, round(1 / (1 + exp(-(-0.8::DOUBLE + 2.0::DOUBLE * heuristic - 1.5::DOUBLE * jaccard - common + 0.4::DOUBLE * deg_u + 0.4::DOUBLE * deg_v + 0.5::DOUBLE * hub))), 4) AS spuriousness FROM feat) SELECT *, spuriousness >= 0.65 AS suggested FROM z",
