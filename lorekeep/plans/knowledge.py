@@ -132,6 +132,15 @@ def shortest_path(spark: SparkSession, d: str) -> DataFrame:
     return p.select("source", "target", "found", "length", F.array_join("path", ">").alias("path"))
 
 
+def trace_path(spark: SparkSession, d: str) -> DataFrame:
+    """As ``shortest_path``, along the direction of relations only."""
+    r = _rel(spark, d)
+    least = r.groupBy("project").agg(F.min("from_entity").alias("target"))
+    pairs = _asked(spark, d).join(least, "project").select(F.col("target").alias("source"), F.col("id").alias("target")).where("source <> target")
+    p = graph.shortest_paths(materialise(graph.adjacency(r, "outgoing"), "steps"), materialise(pairs, "pairs"))
+    return p.select("source", "target", "found", "length", F.array_join("path", ">").alias("path"))
+
+
 def asof_facts(spark: SparkSession, d: str) -> DataFrame:
     return graph.facts_at(_once(_rel(spark, d)), _ent(spark, d), AS_OF, "both")
 
@@ -336,7 +345,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         document_ids, pending_documents, relation_insert_ignore, reconstruct_document, chunk_documents, extract_entities, document_mentions, entity_registry, entity_ids, relation_upsert, entity_upsert, delete_relation, delete_entity, khop_1, khop_2, khop_outgoing, asof_neighbors,
-        shortest_path, asof_facts, supersede_facts, adjust_confidence, entity_term_lookup, chunks_near_entity, graph_search, fused_entity_search, ppr_transition, ppr_fixed_rounds, ppr_topk, edge_features, spurious_edges,
+        shortest_path, trace_path, asof_facts, supersede_facts, adjust_confidence, entity_term_lookup, chunks_near_entity, graph_search, fused_entity_search, ppr_transition, ppr_fixed_rounds, ppr_topk, edge_features, spurious_edges,
         spurious_edges_learned, prune_isolated, review_queue, relation_scores, verification_cap, verdict_parse, relation_lines, calibrated_scorer, edge_scorer, spurious_edges_trained, relation_scores_trained, verify_and_merge,
     )
 }
@@ -446,6 +455,12 @@ pairs AS (SELECT id AS source, target FROM asked JOIN t USING (project) WHERE id
 walk(source, node, path) USING KEY (source, node) AS (SELECT DISTINCT source, source, [source] FROM pairs UNION
  SELECT w.source, v, min(list_append(w.path, v)) FROM walk w JOIN adj ON u = w.node LEFT JOIN recurring.walk k ON k.source = w.source AND k.node = v WHERE k.node IS NULL GROUP BY w.source, v),
 best AS (SELECT source, node AS target, path FROM walk)
+SELECT source, target, path IS NOT NULL AS found, CAST(coalesce(len(path) - 1, -1) AS INTEGER) AS length, array_to_string(path, '>') AS path FROM pairs LEFT JOIN best USING (source, target)""",
+    "trace_path": f"""WITH RECURSIVE {_E}, {_ASKED}, adj AS (SELECT DISTINCT from_entity AS u, to_entity AS v FROM relations WHERE from_entity <> to_entity), t AS (SELECT project, min(from_entity) AS target FROM relations GROUP BY project),
+pairs AS (SELECT target AS source, id AS target FROM asked JOIN t USING (project) WHERE id <> target),
+walk(source, node, path) USING KEY (source, node) AS (SELECT DISTINCT source, source, [source] FROM pairs UNION
+ SELECT w.source, v, min(list_append(w.path, v)) FROM walk w JOIN adj ON u = w.node LEFT JOIN recurring.walk k ON k.source = w.source AND k.node = v WHERE k.node IS NULL GROUP BY w.source, v),
+best AS (SELECT source, node AS target, path FROM walk)
 SELECT source, target, path IS NOT NULL AS found, CAST(coalesce(len(path) - 1, -1) AS INTEGER) AS length, array_to_string(path, '>') AS path FROM pairs LEFT JOIN best USING (source, target)""",
     "asof_facts": f"""WITH {_E}, {_R}, n AS (SELECT *, {_VALID}, coalesce(qualifiers['valid_from'], '') AS valid_from, coalesce(qualifiers['valid_to'], '') AS valid_to FROM r),
 v AS (SELECT * FROM n WHERE {_HOLDS}),
