@@ -265,7 +265,7 @@ def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
     both = e.withColumn("version", F.lit(1)).unionByName(again.withColumn("version", F.lit(2)))
     newest = graph.upsert_entities(both.withColumnRenamed("vec_id", "id"), F.col("version"))
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return newest.select(F.col("id").alias("vec_id"), "label", "version", F.round(total, 3).alias("total"))
+    return newest.select(F.col("id").alias("vec_id"), "label", "version", (F.round(total, 3) + F.lit(0.0)).alias("total"))  # no negative zero
 
 
 def raw_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +354,7 @@ def _metrics_sql(arm: str, out: str) -> str:
 
 
 _HIT = "CASE WHEN r <= {n} THEN 1.0 ELSE 0.0 END::DOUBLE"
-_MEANS = ", ".join(f"round(avg({_HIT.format(n=n)}), 6) AS hit{n}" for n in (1, 3, 5))
+_MEANS = ", ".join(f"round(avg(CASE WHEN q IS NOT NULL THEN {_HIT.format(n=n)} END), 6) AS hit{n}" for n in (1, 3, 5))
 _QUEUE = f"""{k._FEAT}, of AS (SELECT DISTINCT project, least(from_entity, to_entity) AS a, greatest(from_entity, to_entity) AS b FROM relations WHERE project IS NOT NULL),
 nm AS (SELECT id, max(name) AS name FROM entities GROUP BY id),
 qr AS (SELECT of.project, feat.*, na.name AS name_a, nb.name AS name_b, heuristic AS spuriousness FROM of JOIN feat USING (a, b) LEFT JOIN nm na ON na.id = a LEFT JOIN nm nb ON nb.id = b
@@ -390,8 +390,8 @@ r AS (SELECT q.query_id, min(rank) AS r FROM (SELECT DISTINCT query_id FROM gold
 SELECT query_id, {", ".join(f"{_HIT.format(n=n)} AS hit{n}" for n in (1, 3, 5))}, coalesce(round(1.0::DOUBLE / r, 6), 0) AS rr FROM r""",
     "retrieval_ablation": f"""WITH {_BASE}, {_seed_sql(5)}, {_NEAR}, {_DENSE}, {_LEX}, {_GOLD}, {_rrf_sql(["lex", "walk"])},
 {_metrics_sql("dense", "md")}, {_metrics_sql("lex", "ml")}, {_metrics_sql("walk", "mg")}, {_metrics_sql("fused", "mb")}
-SELECT arm, count(*) AS queries, {_MEANS}, round(avg(coalesce(round(1.0::DOUBLE / r, 6), 0)), 6) AS mrr
-FROM (SELECT 'dense' AS arm, r FROM md UNION ALL SELECT 'lexical', r FROM ml UNION ALL SELECT 'graph', r FROM mg UNION ALL SELECT 'lexical+graph', r FROM mb) GROUP BY arm""",
+SELECT arm, count(q) AS queries, {_MEANS}, round(avg(CASE WHEN q IS NOT NULL THEN coalesce(round(1.0::DOUBLE / r, 6), 0) END), 6) AS mrr
+FROM (VALUES ('dense'), ('lexical'), ('graph'), ('lexical+graph')) v(arm) LEFT JOIN (SELECT 'dense' AS arm, query_id AS q, r FROM md UNION ALL SELECT 'lexical', query_id, r FROM ml UNION ALL SELECT 'graph', query_id, r FROM mg UNION ALL SELECT 'lexical+graph', query_id, r FROM mb) USING (arm) GROUP BY arm""",
     "review_features": f"WITH {_QUEUE} SELECT project, a, b, name_a, name_b, heuristic, jaccard, common, deg_u, deg_v, hub, spuriousness FROM qr",
     "review_pending": f"WITH {_QUEUE} SELECT project, a, b, spuriousness, round(abs(spuriousness - 0.65::DOUBLE), 6) AS distance FROM queue WHERE status = 'pending' ORDER BY distance, project, a, b LIMIT 20",
     "review_stats": f"""WITH {_QUEUE} SELECT project, count(*) AS total, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'labelled') AS labelled,
@@ -413,7 +413,7 @@ o AS (SELECT DISTINCT session_id, project, md5(project || ':' || a.key)[1:12] AS
   WHERE session_id <> '' AND project IS NOT NULL)
 SELECT session_id, project, count(*) AS relations, count(DISTINCT f) AS subjects FROM o GROUP BY ALL""",
     "vector_upsert": """SELECT vec_id, label, CASE WHEN vec_id % 3 = 0 THEN 2 ELSE 1 END AS version,
-round(list_sum(list_transform(embedding, lambda x: CAST(CASE WHEN vec_id % 3 = 0 THEN x + 1::FLOAT ELSE x END AS DOUBLE))), 3) AS total FROM embeddings""",
+round(list_sum(list_transform(embedding, lambda x: CAST(CASE WHEN vec_id % 3 = 0 THEN x + 1::FLOAT ELSE x END AS DOUBLE))), 3) + 0.0::DOUBLE AS total FROM embeddings""",
     "maintenance_metrics": f"""WITH {k._SCORED}, {_CALLS},
 lv AS (SELECT project, count(*) AS relations, count(*) FILTER (level = 'srmkg_high') AS accepted, count(*) FILTER (level = 'srmkg_low') AS rejected FROM l GROUP BY project),
 al AS (SELECT project, count(*) AS isolated FROM ({k.SQL["prune_isolated"]}) GROUP BY project),
