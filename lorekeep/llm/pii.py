@@ -315,14 +315,14 @@ def _numbers(m: Marks) -> Iterator[tuple[str, int, int, int]]:
     lo, hi = lo[new], np.maximum.reduceat(hi, np.flatnonzero(new))
     hi = np.minimum(hi, len(p.codes))
     lines = [p.text[a:b] for a, b in zip(lo.tolist(), hi.tolist())]
-    joined = "".join(lines)
-    at = np.concatenate(([0], np.cumsum(hi - lo)))
+    joined = "\n".join(lines)
+    at = np.concatenate(([0], np.cumsum(hi - lo + 1)))
     for kind, patterns in PATTERNS.items():
         for k, pattern in enumerate(patterns):
             for x in pattern.finditer(joined):
                 a, b = x.span()
                 i = int(np.searchsorted(at, a, "right")) - 1
-                if b > at[i + 1]:
+                if b >= at[i + 1]:
                     continue
                 if kind == "phone":
                     b -= joined[b - 1] == "("
