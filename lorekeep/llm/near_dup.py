@@ -300,7 +300,7 @@ def _xor_counts(sketches: np.ndarray, n: np.ndarray) -> Callable:
 
 
 def _compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes of a block whose sketches differ in no more bits than the radius allows."""
+    """Pairs of classes of a block whose sketches differ in no more bits than the radius allows, the smaller first."""
     for r in _runs(source, "block"):
         block, n, bits, side, ref = r["block"], r["n"].astype("int64"), r["bits"].astype("int64"), r["side"], r["ref"]
         level, xor = _level(n), _xor_counts(r["sketch"], n)
@@ -336,7 +336,9 @@ def _compare(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     found.append(close(i[i < j], j[i < j]))
         if found:
             i, j = (np.concatenate(z) for z in zip(*found))
-            a, b = np.minimum(ref[i], ref[j]), np.maximum(ref[i], ref[j])
+            # the smaller set first, since it is the one that later moves to the other
+            turn = (n[i] > n[j]) | ((n[i] == n[j]) & (ref[i] > ref[j]))
+            a, b = np.where(turn, ref[j], ref[i]), np.where(turn, ref[i], ref[j])
             new = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.zeros((0, 2), "int64")
             yield pa.record_batch([pa.array(new[:, 0].copy()), pa.array(new[:, 1].copy())], names=["a", "b"])
 
@@ -407,7 +409,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, kept: int) -> DataFrame:
 
 def class_pairs(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): members (id, project, ref, n), one row per chunk id, and pairs (a, b, similarity)
-    of classes of one project whose shingle sets have a similarity of at least 3/5, a < b.
+    of classes of one project whose shingle sets have a similarity of at least 3/5, a being the smaller set.
 
     ``chunks`` needs id, text and project; other columns are ignored. Repeated rows of an id count
     once. Texts that are null, empty or under three words have n = 0 and are in no pair, nor are rows
