@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import tokens
+from lorekeep.sources.tables import materialise
 
 K1, B = 1.5, 0.75
 #: Query terms up to this number are sent to all tasks; more are joined by shuffle.
 BROADCAST_TERMS = 100_000
+#: Documents of a block, and queries of a block that meets it.
+DOC_BLOCK, QUERY_BLOCK = 16_384, 16_384
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -29,6 +39,12 @@ def term_stats(posting: DataFrame, n_docs: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(n_docs)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def _query_terms(queries: DataFrame, scope: list[str]) -> DataFrame:
+    """(query_id, scope..., term, times) of every query."""
+    own = queries.select("query_id", *scope, F.explode(tokens(F.col("query"))).alias("term"))
+    return own.groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
+
+
 def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", scope: list[str] | None = None) -> DataFrame:
     """(query_id, scope..., key, score > 0) of every document that shares a term with a query.
 
@@ -36,7 +52,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     each time. Within a ``scope`` (such as the project) document counts and lengths are its own.
     """
     scope = scope or []
-    terms = queries.select("query_id", *scope, F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", *scope, "term").agg(F.count(F.lit(1)).alias("times"))
+    terms = _query_terms(queries, scope)
     split = docs.select(key, *scope, F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")).alias("toks"))
     split = split.withColumn("dl", F.size("toks"))  # before the explode, which then carries no array along
     lengths = split.select(key, *scope, "dl")
@@ -55,6 +71,181 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text:
     return scored.where(F.col("score") > 0)
 
 
+def _raw(numbers: np.ndarray) -> bytes:
+    """Whole numbers from 0 in the fewest bytes each; ``_numbers`` reads them."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0)))).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, f"u{len(raw) // n}" if n else "u1").astype("int64")
+
+
+def _doc_blocks(docs: DataFrame, asked: list[str], key: str, text: str) -> DataFrame:
+    """(keys, dl, at, term, tf): documents in blocks, in each by key; document i has the terms (numbers in ``asked``)
+    and counts from at[i] to at[i + 1]."""
+    kind, word = docs.schema[key].dataType.simpleString(), re.compile(rb"[a-z0-9]+")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t.encode(): i for i, t in enumerate(asked)}
+        keys, dl, terms, tf = [], array("l"), array("l"), array("l")
+        at = array("l", [0])
+
+        def block() -> pa.RecordBatch:
+            nonlocal keys
+            order = sorted(range(len(keys)), key=lambda i: (keys[i] is not None, keys[i]))
+            start = np.array(at)
+            n, start = np.diff(start)[order], start[:-1][order]
+            ends = np.cumsum([0, *n])
+            some = np.repeat(start - ends[:-1], n) + np.arange(ends[-1])
+            each = np.array(dl)[order], ends, np.array(terms)[some], np.array(tf)[some]
+            own, keys = pa.array([[keys[i] for i in order]], pa.list_(key_type)), []
+            for x in (dl, terms, tf, at):
+                del x[:]
+            at.append(0)
+            return pa.RecordBatch.from_arrays([own, *(pa.array([_raw(x)], pa.binary()) for x in each)], ["keys", "dl", "at", "term", "tf"])
+
+        for b in batches:
+            key_type = b.schema.field(0).type
+            for x, t in zip(b.column(0), b.column(1)):
+                found = word.findall(t.as_py() or b"")
+                own = Counter(map(number.get, found))
+                own.pop(None, 0)
+                keys.append(x.as_py())
+                dl.append(len(found))
+                terms.extend(own)
+                tf.extend(own.values())
+                at.append(len(terms))
+                if len(keys) == DOC_BLOCK:
+                    yield block()
+        if keys:
+            yield block()
+
+    low = docs.select(key, F.lower(F.col(text)).cast("binary").alias("low"))
+    return low.mapInArrow(count, f"keys array<{kind}>, dl binary, at binary, term binary, tf binary")
+
+
+def _query_blocks(terms: DataFrame, asked: list[str]) -> DataFrame:
+    """(keys, at, term, times): queries in blocks, as in ``_doc_blocks``."""
+    kind = terms.schema["query_id"].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = {t: i for i, t in enumerate(asked)}
+        for b in batches:
+            for lo in range(0, b.num_rows, QUERY_BLOCK):
+                part = b.slice(lo, QUERY_BLOCK)
+                own = [sorted((number[x["term"]], x["times"]) for x in q) for q in part.column(1).to_pylist()]
+                each = np.array([x for q in own for x in q], "int64").reshape(-1, 2)
+                ends = np.cumsum([0, *map(len, own)])
+                keys = pa.array([part.column(0).to_pylist()], pa.list_(b.schema.field(0).type))
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array([_raw(x)], pa.binary()) for x in (ends, each[:, 0], each[:, 1]))], ["qkeys", "qat", "qterm", "qtimes"])
+
+    lists = materialise(terms.groupBy("query_id").agg(F.collect_list(F.struct("term", "times")).alias("own")), "queries")
+    parts = -(-lists.count() // QUERY_BLOCK)
+    return lists.repartition(max(1, parts)).mapInArrow(pack, f"qkeys array<{kind}>, qat binary, qterm binary, qtimes binary")
+
+
+def _block_stats(blocks: DataFrame, n_terms: int) -> tuple[int, int, np.ndarray]:
+    """(documents, their tokens, documents of each term)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, size = np.zeros(n_terms, "int64"), 0, 0
+        for b in batches:
+            for keys, dl, at, term in zip(*(b.column(i).to_pylist() for i in range(4))):
+                own = _numbers(dl, keys)
+                df += np.bincount(_numbers(term, _numbers(at, keys + 1)[-1]), minlength=n_terms)
+                n, size = n + keys, size + int(own.sum())
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array([-2, -1, *some.tolist()], pa.int32()), pa.array([n, size, *df[some].tolist()], pa.int64())], ["term", "n"])
+
+    total = {r.term: r.n for r in blocks.select(F.size("keys"), "dl", "at", "term").mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    return total.get(-2, 0), total.get(-1, 0), np.array([total.get(i, 0) for i in range(n_terms)], "float64")
+
+
+class _Block:
+    """The weights of a block of documents by term: a row over all documents for frequent terms, else a list."""
+
+    def __init__(self, r: dict, idf: np.ndarray, avgdl: float):
+        self.keys = r["keys"]
+        dl, at = _numbers(r["dl"], len(self.keys)), _numbers(r["at"], len(self.keys) + 1)
+        term, tf = _numbers(r["term"], at[-1]), _numbers(r["tf"], at[-1])
+        doc = np.repeat(np.arange(len(dl)), np.diff(at))
+        order = np.argsort(term, kind="stable")
+        self.doc, term, tf = doc[order], term[order], tf[order].astype("float64")
+        self.weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[self.doc] / avgdl))
+        self.at = np.searchsorted(term, np.arange(len(idf) + 1)).tolist()
+        self.rows: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.bincount(term, minlength=len(idf)) * 8 > len(dl)).tolist():
+            self.rows[t] = self.score([t], [1], np.empty(len(dl))).copy()
+
+    def score(self, terms: list[int], times: list[int], out: np.ndarray) -> np.ndarray:
+        """The score of every document."""
+        out.fill(0)
+        for t, m in zip(terms, times):
+            if (row := self.rows.get(t)) is not None:
+                out += row if m == 1 else row * m
+            elif (lo := self.at[t]) < (hi := self.at[t + 1]):
+                out[self.doc[lo:hi]] += self.weight[lo:hi] if m == 1 else self.weight[lo:hi] * m
+        return out
+
+
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query_id, key, score, rank): what ``top_k`` gives of ``bm25_scores``, without a row for every pair.
+
+    The counts of the asked terms of each document become a scratch table of blocks. Blocks of queries meet blocks
+    of documents; a task adds up the weights of all of its documents, term by term, and passes on k documents a
+    query. Keys that repeat or are null, and more than BROADCAST_TERMS terms, are left to ``bm25_scores``.
+    """
+    terms = materialise(_query_terms(queries, []), "terms")
+    asked = sorted(r.term for r in terms.select("term").distinct().limit(BROADCAST_TERMS + 1).collect())
+    blocks = materialise(_doc_blocks(docs, asked, key, text), "postings") if len(asked) <= BROADCAST_TERMS else None
+    own = blocks and blocks.select(F.explode("keys").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("x").alias("d")).first()
+    if blocks is None or own.n != own.d:
+        return top_k(bm25_scores(docs, queries, key, text), k, ["query_id"], tie=key)
+    n, size, df = _block_stats(blocks, len(asked))
+    idf, avgdl = np.log(1 + (n - df + 0.5) / (df + 0.5)), size / n if size else 1.0
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each block of queries: its keys, its terms, the least score that may still enter, and (-score, key) of the best
+        kept: dict[object, tuple] = {}
+        block = types = None
+        for b in batches:
+            types = types or [b.schema.field(x).type.value_type for x in ("qkeys", "keys")]
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if block is None or block.keys[0] != r["keys"][0]:
+                    block = _Block(r, idf, avgdl)
+                    out = np.empty(len(block.keys))
+                name = r["qkeys"][0]
+                if name not in kept:
+                    at = _numbers(r["qat"], len(r["qkeys"]) + 1).tolist()
+                    term, times = (_numbers(r[x], at[-1]).tolist() for x in ("qterm", "qtimes"))
+                    each = [(term[lo:hi], times[lo:hi]) for lo, hi in zip(at, at[1:])]
+                    kept[name] = r["qkeys"], each, [5e-7] * len(each), [[] for _ in each]
+                _, each, least, tops = kept[name]
+                for q, (term, times) in enumerate(each):
+                    score = block.score(term, times, out)
+                    some = np.flatnonzero(score >= least[q])
+                    if not len(some):
+                        continue
+                    found = np.round(score[some], 6)
+                    if len(some) > k:
+                        enter = found >= np.partition(found, len(some) - k)[len(some) - k]
+                        some, found = some[enter], found[enter]
+                        first = np.argsort(-found, kind="stable")[:k]
+                        some, found = some[first], found[first]
+                    tops[q] = sorted(tops[q] + [(-s, block.keys[d]) for s, d in zip(found.tolist(), some.tolist())])[:k]
+                    if len(tops[q]) == k:
+                        least[q] = max(5e-7, -tops[q][-1][0] - 1e-6)
+        for qkeys, _, _, tops in kept.values():
+            rows = [(q, x, -s) for q, top in zip(qkeys, tops) for s, x in top if s < 0]
+            qs, xs, scores = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(qs, types[0]), pa.array(xs, types[1]), pa.array(scores, pa.float64())], ["query_id", key, "score"])
+
+    kinds = [f"`{c}` {x.schema[c].dataType.simpleString()}" for x, c in ((terms, "query_id"), (docs, key))]
+    pairs = blocks.crossJoin(materialise(_query_blocks(terms, asked), "asked"))
+    return top_k(pairs.mapInArrow(best, f"{', '.join(kinds)}, score double"), k, ["query_id"], tie=key)
+
+
 def top_k(scored: DataFrame, k: int, by: list[str], score: str = "score", tie: str = "doc_id") -> DataFrame:
     """The k best rows of each group with their ``rank`` from 1; ties go to the lesser ``tie``."""
     w = Window.partitionBy(*by).orderBy(F.desc(score), F.asc(tie))

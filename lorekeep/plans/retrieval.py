@@ -25,7 +25,7 @@ def _queries(docs: DataFrame) -> DataFrame:
 
 def _lexical(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return lexical.top_k(lexical.bm25_scores(docs, _queries(docs)), TOP, ["query_id"])
+    return lexical.bm25_top(docs, _queries(docs), TOP)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:

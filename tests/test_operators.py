@@ -346,3 +346,49 @@ def test_search_in_blocks(spark, monkeypatch):
                 cos = lambda x: round(float(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x) or 1)), 6) if any(x) and any(v) else 0.0  # noqa: B023, E731
                 want = sorted((-cos(x), i) for i, x, s in rows if x and (not scope or s == lab))[:4]
                 assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in want]
+
+
+def _shuffled(spark, run):
+    """Rows that ``run`` wrote to shuffles, and its result."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def rows():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        empty = jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(empty, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), empty)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before, out = rows(), run()
+    return rows() - before, out
+
+
+def test_lexical_top_without_pairs(spark, tmp_path):
+    """400 titles that share words with all of 800 texts: the best of each, and no row for each pair."""
+    from lorekeep.plans import retrieval
+    from tests.sqlcheck import assert_same, connect
+
+    texts = [(50 * i if i < 400 else 20_001 + 50 * i, f"same shared words {i % 7} {'same ' * (i % 5)}\nmore {i % 11}" if i % 13 else None) for i in range(800)]
+    texts += [(7, ""), (9, "Ünrelated — ☃")]
+    spark.createDataFrame([(*x, "p") for x in texts], "doc_id bigint, text string, project string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    n, _ = _shuffled(spark, lambda: assert_same(retrieval.bm25_topk(spark, str(tmp_path)), connect(str(tmp_path)), retrieval.SQL["bm25_topk"]))
+    assert n < 60_000  # of 270,000 pairs
+
+
+@pytest.mark.parametrize("ids", [[50, 100, 100, 3], [50, None, 4, 3]])
+def test_lexical_top_of_repeated_ids(spark, ids):
+    docs = spark.createDataFrame(list(zip(ids, ["a b", "b c", "b b", "a c c"])), "doc_id bigint, text string")
+    asked = spark.createDataFrame([(1, "a b b"), (2, "c"), (3, "!"), (4, None)], "query_id int, query string")
+    got = sorted(map(tuple, lexical.bm25_top(docs, asked, 2).select("query_id", "doc_id", "score", "rank").collect()), key=repr)
+    want = lexical.top_k(lexical.bm25_scores(docs, asked), 2, ["query_id"]).select("query_id", "doc_id", "score", "rank")
+    assert got == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_lexical_top_over_blocks(spark, monkeypatch):
+    """Several blocks of texts and of queries, string keys, and more terms than are sent to all tasks."""
+    docs = spark.createDataFrame([(f"d{i:03}", " ".join(f"w{j}" for j in range(i % 9 + 1)) + f" u{i % 17}") for i in range(200)], "id string, t string")
+    asked = spark.createDataFrame([(f"q{i:02}", f"w{i % 9} w{i % 9} u{i} none") for i in range(40)], "query_id string, query string")
+    want = sorted(map(tuple, lexical.top_k(lexical.bm25_scores(docs, asked, "id", "t"), 3, ["query_id"], tie="id").collect()))
+    for name, value in (("DOC_BLOCK", 16), ("QUERY_BLOCK", 7), ("BROADCAST_TERMS", 5)):
+        monkeypatch.setattr(lexical, name, value)
+        got = lexical.bm25_top(docs, asked, 3, "id", "t").select("query_id", "id", "score", "rank")
+        assert sorted(map(tuple, got.collect())) == want
