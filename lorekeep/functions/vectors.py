@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).when(size == 0, F.lit(0.0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once a row; inside a lambda it would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def truncate_norm(a: Column, dim: int) -> Column:
     """The first ``dim`` components at length one; a vector without length stays as it is."""
-    head = F.slice(a, 1, dim)
-    size = norm(head)
-    return F.transform(head, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    scaled = lambda h, size: F.transform(h, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(x.cast("double")))
+    return once(F.slice(a, 1, dim), lambda h: once(norm(h), lambda size: scaled(h, size)))
 
 
 def stub_embed(text: Column, dim: int) -> Column:
     """A deterministic unit vector of a text: bytes of its SHA-256, repeated, as (b - 128) / 128."""
-    digest = F.sha2(text, 256)
-    byte = lambda i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (byte(i) - 128.0) / 128.0)
-    return truncate_norm(raw, dim)
+    byte = lambda digest, i: F.conv(F.substring(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("double")
+    raw = lambda digest: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (byte(digest, i) - 128.0) / 128.0)
+    return truncate_norm(once(F.sha2(text, 256), raw), dim)
 
 
 def or_zeros(a: Column, dim: int) -> Column:

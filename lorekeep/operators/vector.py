@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,9 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.vectors import cosine
+from lorekeep.sources.tables import materialise
 
-#: Vectors of a block.
-PACK = 2048
+#: Vectors of a block, and queries that one task keeps results of.
+PACK, TASK_QUERIES = 2048, 16_384
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id") -> DataFrame:
@@ -26,7 +28,7 @@ def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_i
 
 
 def _packed(vectors: DataFrame, key: str, vector: str, scope: list[str], prefix: str) -> DataFrame:
-    """(scope..., {prefix}keys, {prefix}flat): the vectors of each input batch as one row per scope."""
+    """(scope..., {prefix}block, {prefix}keys, {prefix}flat): the vectors of each input batch as one row per scope, with a name of the row."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -34,42 +36,88 @@ def _packed(vectors: DataFrame, key: str, vector: str, scope: list[str], prefix:
                 part = b.iloc[lo : lo + PACK]
                 for s, g in part.groupby(scope, dropna=False, sort=False) if scope else [((), part)]:
                     flat = np.concatenate([np.asarray(v, "float64") for v in g[vector]])
-                    row = {f"{prefix}keys": [g[key].to_list()], f"{prefix}flat": [flat]}
+                    row = {f"{prefix}block": uuid.uuid4().hex, f"{prefix}keys": [g[key].to_list()], f"{prefix}flat": [flat]}
                     yield pd.DataFrame({**dict(zip(scope, [[x] for x in s])), **row})
 
     kinds = [f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in scope]
     kind = vectors.schema[key].dataType.simpleString()
-    schema = ", ".join([*kinds, f"{prefix}keys array<{kind}>", f"{prefix}flat array<double>"])
+    schema = ", ".join([*kinds, f"{prefix}block string", f"{prefix}keys array<{kind}>", f"{prefix}flat array<double>"])
     return vectors.select(*scope, key, vector).where(F.col(vector).isNotNull()).mapInPandas(pack, schema)
 
 
+class _Best:
+    """The k best vectors so far of each query of a block: places of the queries, keys, similarities."""
+
+    def __init__(self, queries: np.ndarray, scope: list, vectors: np.ndarray, size: np.ndarray, near: np.ndarray, k: int):
+        self.queries, self.scope, self.vectors, self.size, self.near, self.k = queries, scope, vectors, size, near, k
+        self.new, self.least = True, np.full(len(queries), -np.inf)
+        self.at, self.keys, self.sim = np.empty(0, "int64"), None, np.empty(0)
+        self.waiting: list[tuple] = []
+        self.rows = 0
+
+    def add(self, at: np.ndarray, keys: np.ndarray, sim: np.ndarray) -> None:
+        self.waiting.append((at, keys, sim))
+        self.rows += len(at)
+        if self.new or self.rows > self.k * len(self.queries):
+            self.merge()
+
+    def merge(self) -> None:
+        own = [] if self.new else [(self.at, self.keys, self.sim)]
+        at, keys, sim = (np.concatenate(x) for x in zip(*own, *self.waiting))
+        order = np.lexsort((keys, -sim, at))
+        at, keys, sim = at[order], keys[order], sim[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        some = place < self.k
+        self.at, self.keys, self.sim = at[some], keys[some], sim[some]
+        full = place == self.k - 1
+        self.least[at[full]] = sim[full]
+        self.waiting, self.rows, self.new = [], 0, False
+
+
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", scope: list[str] | None = None) -> DataFrame:
     """(query_id, scope..., key, similarity, rank): the k nearest vectors of each query of a stated set.
 
     ``queries`` holds query_id, qvec and the scope columns. Blocks of up to PACK queries meet blocks of up to PACK
-    vectors, each scope's own where a scope is given; every pair of blocks is one matrix product that keeps k
-    vectors a query. Null vectors are left out; a vector without length has the similarity 0. Ties go to the
-    lesser key.
+    vectors, each scope's own where a scope is given; both are packed once. A task keeps k vectors a query over all of
+    its blocks: every pair of blocks is one matrix product in single precision, and only what may still enter is
+    computed in double precision. Null vectors are left out; a vector without length has the similarity 0. Ties go
+    to the lesser key.
     """
     scope = scope or []
-    known, asked = _packed(vectors, key, "embedding", scope, "v"), _packed(queries, "query_id", "qvec", scope, "q")
-    pairs = known.join(asked, scope) if scope else known.crossJoin(asked)
+    if scope:
+        pairs = _packed(vectors, key, "embedding", scope, "v").join(_packed(queries, "query_id", "qvec", scope, "q"), scope)
+    else:
+        known, few = materialise(_packed(vectors, key, "embedding", scope, "v"), "vectors"), materialise(queries.select("query_id", "qvec"), "queries")
+        parts = max(1, -(-few.count() // TASK_QUERIES))
+        pairs = known.crossJoin(materialise(_packed(few.repartition(parts), "query_id", "qvec", scope, "q"), "asked"))
+
+    def unit(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return np.divide(rows, size[:, None], out=np.zeros(rows.shape), where=size[:, None] > 0).astype("float32")
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict[str, _Best] = {}
         for b in batches:
             for r in b.to_dict("records"):
-                v, q = (np.asarray(r[f"{x}flat"]).reshape(len(r[f"{x}keys"]), -1) for x in "vq")
-                size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(v, axis=1)[None, :]
-                sim = np.round(np.divide(q @ v.T, size, out=np.zeros(size.shape), where=size > 0), 6) + 0.0
-                keys = np.asarray(r["vkeys"])
-                least = np.partition(sim, -k, axis=1)[:, -k] if k < sim.shape[1] else np.full(len(q), -np.inf)
-                at, col = np.nonzero(sim >= least[:, None])
-                order = np.lexsort((keys[col], -sim[at, col], at))
-                at, col = at[order], col[order]
-                place = np.arange(len(at)) - np.searchsorted(at, at)
-                at, col = at[place < k], col[place < k]
-                out = {"query_id": np.asarray(r["qkeys"])[at], **{c: [r[c]] * len(at) for c in scope}}
-                yield pd.DataFrame({**out, key: keys[col], "similarity": sim[at, col]})
+                v = np.asarray(r["vflat"]).reshape(len(r["vkeys"]), -1)
+                if r["qblock"] not in kept:
+                    q = np.asarray(r["qflat"]).reshape(len(r["qkeys"]), -1)
+                    size = np.linalg.norm(q, axis=1)
+                    kept[r["qblock"]] = _Best(np.asarray(r["qkeys"]), [r[c] for c in scope], q, size, unit(q, size), k)
+                own, keys, size = kept[r["qblock"]], np.asarray(r["vkeys"]), np.linalg.norm(v, axis=1)
+                near = own.near @ unit(v, size).T
+                # both precisions and the rounding differ by less
+                slack = 1e-5 + 1e-6 * v.shape[1]
+                least = own.least[:, None] - slack
+                if own.new and k < near.shape[1]:
+                    least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k, None] - 2 * slack)
+                at, col = np.divmod(np.flatnonzero(near >= least.astype("float32")), near.shape[1])
+                length = own.size[at] * size[col]
+                dot = np.einsum("ij,ij->i", own.vectors[at], v[col])
+                own.add(at, keys[col], np.round(np.divide(dot, length, out=np.zeros(len(at)), where=length > 0), 6) + 0.0)
+        for own in kept.values():
+            own.merge()
+            out = {"query_id": own.queries[own.at], **{c: [x] * len(own.at) for c, x in zip(scope, own.scope)}}
+            yield pd.DataFrame({**out, key: own.keys, "similarity": own.sim})
 
     fields = [("query_id", queries.schema["query_id"]), *[(c, vectors.schema[c]) for c in scope], (key, vectors.schema[key])]
     schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in fields) + ", similarity double"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.vectors import stub_embed, truncate_norm
 from lorekeep.operators import chunking, evaluate, fusion, lexical, vector, verify
-from lorekeep.sources.tables import table
+from lorekeep.sources.tables import materialise, table
 
 TOP = 10
 #: Components of the deterministic embeddings of texts.
@@ -86,19 +86,20 @@ def _dense_texts(spark: SparkSession, d: str) -> DataFrame:
     return vector.search_batch(known, asked, TOP, "doc_id")
 
 
-def _arms(spark: SparkSession, d: str) -> list[DataFrame]:
-    dense = _dense_texts(spark, d).select("query_id", "doc_id", "rank")
-    return [dense, _lexical(spark, d).select("query_id", "doc_id", "rank")]
+def _fused(dense: DataFrame, lexical_arm: DataFrame) -> DataFrame:
+    arms = [a.select("query_id", "doc_id", "rank") for a in (dense, lexical_arm)]
+    fused = fusion.reciprocal_rank_fusion(arms, ["query_id"], "doc_id")
+    return fused.where(F.col("rank") <= TOP).select("query_id", "doc_id", "score", "rank")
 
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    fused = fusion.reciprocal_rank_fusion(_arms(spark, d), ["query_id"], "doc_id")
-    return fused.where(F.col("rank") <= TOP).select("query_id", "doc_id", "score", "rank")
+    return _fused(_dense_texts(spark, d), _lexical(spark, d))
 
 
 def hybrid_verified(spark: SparkSession, d: str) -> DataFrame:
-    fused = hybrid_search(spark, d)
-    sim = _dense_texts(spark, d).select("query_id", "doc_id", "similarity")
+    dense = materialise(_dense_texts(spark, d), "dense")  # it ranks and it verifies
+    fused = _fused(dense, _lexical(spark, d))
+    sim = dense.select("query_id", "doc_id", "similarity")
     return verify.bucket_chunks(fused.join(sim, ["query_id", "doc_id"], "left")).select("query_id", "doc_id", "rank", "similarity", "bucket")
 
 

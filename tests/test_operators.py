@@ -362,15 +362,16 @@ def _shuffled(spark, run):
     return rows() - before, out
 
 
-def test_lexical_top_without_pairs(spark, tmp_path):
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_verified"])
+def test_search_without_pairs(name, spark, tmp_path):
     """400 titles that share words with all of 800 texts: the best of each, and no row for each pair."""
     from lorekeep.plans import retrieval
     from tests.sqlcheck import assert_same, connect
 
     texts = [(50 * i if i < 400 else 20_001 + 50 * i, f"same shared words {i % 7} {'same ' * (i % 5)}\nmore {i % 11}" if i % 13 else None) for i in range(800)]
     texts += [(7, ""), (9, "Ünrelated — ☃")]
-    spark.createDataFrame([(*x, "p") for x in texts], "doc_id bigint, text string, project string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
-    n, _ = _shuffled(spark, lambda: assert_same(retrieval.bm25_topk(spark, str(tmp_path)), connect(str(tmp_path)), retrieval.SQL["bm25_topk"]))
+    spark.createDataFrame([(*x, "p") for x in texts], "doc_id bigint, text string, project string").withColumn("source", F.lit("s")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    n, _ = _shuffled(spark, lambda: assert_same(retrieval.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), retrieval.SQL[name]))
     assert n < 60_000  # of 270,000 pairs
 
 
@@ -392,3 +393,38 @@ def test_lexical_top_over_blocks(spark, monkeypatch):
         monkeypatch.setattr(lexical, name, value)
         got = lexical.bm25_top(docs, asked, 3, "id", "t").select("query_id", "id", "score", "rank")
         assert sorted(map(tuple, got.collect())) == want
+
+
+def test_stub_embedding_hashes_once(spark):
+    df = spark.createDataFrame([("hello",), ("",), (None,)], "t string")
+    plan = df.select(stub_embed(F.col("t"), 16).alias("v"))
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+    got = [r.v for r in plan.collect()]
+    assert abs(sum(x * x for x in got[0]) - 1) < 1e-9 and got[1] != got[0] and got[2] == [None] * 16
+
+
+def test_dense_search_passes_on_the_best_only(spark, monkeypatch):
+    """Over many blocks of vectors a task passes on k rows a query, with ties to the lesser key."""
+    import numpy as np
+
+    monkeypatch.setattr(vector, "PACK", 50)
+    rng = np.random.default_rng(5)
+    known = np.repeat(rng.integers(-3, 4, (500, 6)), 4, axis=0).astype(float)
+    asked = rng.integers(-3, 4, (120, 6)).astype(float)
+    known[7] = asked[3] = 0
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(known)], "vec_id int, embedding array<double>").repartition(2)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(asked)], "query_id int, qvec array<double>")
+    n, got = _shuffled(spark, lambda: sorted((r.query_id, r["rank"], r.vec_id, r.similarity) for r in vector.search_batch(v, q, 5).collect()))
+    size = np.linalg.norm(asked, axis=1)[:, None] * np.linalg.norm(known, axis=1)[None, :]
+    sim = np.round(np.divide(asked @ known.T, size, out=np.zeros(size.shape), where=size > 0), 6) + 0.0
+    assert got == [(i, j + 1, int(x), float(sim[i, x])) for i in range(120) for j, x in enumerate(np.lexsort((np.arange(len(known)), -sim[i]))[:5])]
+    assert n < 6_000  # 2,000 vectors and 120 queries moved, and 5 rows a query of each task; 24,000 of all blocks
+
+
+def test_dense_search_runs_once(spark, data, monkeypatch):
+    from lorekeep.plans import retrieval
+
+    runs, whole = [], retrieval._dense_texts
+    monkeypatch.setattr(retrieval, "_dense_texts", lambda *a: runs.append(a) or whole(*a))
+    retrieval.hybrid_verified(spark, data)
+    assert len(runs) == 1
