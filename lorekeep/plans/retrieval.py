@@ -105,7 +105,8 @@ def hybrid_verified(spark: SparkSession, d: str) -> DataFrame:
 
 def search_context(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
-    ranked = hybrid_search(spark, d).where("rank <= 3").join(docs, "doc_id")
+    few = hybrid_search(spark, d).where("rank <= 3")
+    ranked = few.hint("shuffle_hash").join(docs, "doc_id")  # the texts are then not sorted
     return chunking.build_context(ranked, ["query_id"])
 
 

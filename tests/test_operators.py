@@ -362,7 +362,7 @@ def _shuffled(spark, run):
     return rows() - before, out
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_verified", "retrieval_metrics", "hybrid_search"])
+@pytest.mark.parametrize("name", ["bm25_topk", "hybrid_verified", "retrieval_metrics", "hybrid_search", "search_context"])
 def test_search_without_pairs(name, spark, tmp_path):
     """400 titles that share words with all of 800 texts: the best of each, and no row for each pair."""
     from lorekeep.plans import retrieval
