@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions.vectors import cosine
 from lorekeep.sources.tables import materialise
 
-#: Vectors of a block, and queries that one task keeps results of.
-PACK, TASK_QUERIES = 2048, 16_384
+#: Vectors of a block, queries that one task keeps results of, and queries of one matrix product.
+PACK, TASK_QUERIES, TILE = 2048, 16_384, 256
 
 
 def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_id") -> DataFrame:
@@ -27,21 +27,29 @@ def search(vectors: DataFrame, query: Sequence[float], k: int, key: str = "vec_i
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("similarity"), key)))
 
 
-def _packed(vectors: DataFrame, key: str, vector: str, scope: list[str], prefix: str) -> DataFrame:
-    """(scope..., {prefix}block, {prefix}keys, {prefix}flat): the vectors of each input batch as one row per scope, with a name of the row."""
+#: Rows of numbers from a column of vectors.
+Decode = Callable[[pd.Series], np.ndarray]
+
+
+def _arrays(column: pd.Series) -> np.ndarray:
+    return np.concatenate([np.asarray(v, "float64") for v in column])
+
+
+def _packed(vectors: DataFrame, key: str, vector: str, scope: list[str], prefix: str, decode: Decode = _arrays) -> DataFrame:
+    """(scope..., {prefix}block, {prefix}keys, {prefix}flat): the vectors of each input batch as one row per scope, with a name
+    of the row; flat has the bytes of their components."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for lo in range(0, len(b), PACK):
                 part = b.iloc[lo : lo + PACK]
                 for s, g in part.groupby(scope, dropna=False, sort=False) if scope else [((), part)]:
-                    flat = np.concatenate([np.asarray(v, "float64") for v in g[vector]])
-                    row = {f"{prefix}block": uuid.uuid4().hex, f"{prefix}keys": [g[key].to_list()], f"{prefix}flat": [flat]}
+                    row = {f"{prefix}block": uuid.uuid4().hex, f"{prefix}keys": [g[key].to_list()], f"{prefix}flat": [decode(g[vector]).tobytes()]}
                     yield pd.DataFrame({**dict(zip(scope, [[x] for x in s])), **row})
 
     kinds = [f"`{c}` {vectors.schema[c].dataType.simpleString()}" for c in scope]
     kind = vectors.schema[key].dataType.simpleString()
-    schema = ", ".join([*kinds, f"{prefix}block string", f"{prefix}keys array<{kind}>", f"{prefix}flat array<double>"])
+    schema = ", ".join([*kinds, f"{prefix}block string", f"{prefix}keys array<{kind}>", f"{prefix}flat binary"])
     return vectors.select(*scope, key, vector).where(F.col(vector).isNotNull()).mapInPandas(pack, schema)
 
 
@@ -74,22 +82,22 @@ class _Best:
         self.waiting, self.rows, self.new = [], 0, False
 
 
-def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", scope: list[str] | None = None) -> DataFrame:
+def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", scope: list[str] | None = None, decode: Decode = _arrays) -> DataFrame:
     """(query_id, scope..., key, similarity, rank): the k nearest vectors of each query of a stated set.
 
     ``queries`` holds query_id, qvec and the scope columns. Blocks of up to PACK queries meet blocks of up to PACK
     vectors, each scope's own where a scope is given; both are packed once. A task keeps k vectors a query over all of
-    its blocks: every pair of blocks is one matrix product in single precision, and only what may still enter is
-    computed in double precision. Null vectors are left out; a vector without length has the similarity 0. Ties go
-    to the lesser key.
+    its blocks: every pair of blocks is a matrix product in single precision, TILE queries at a time, and only what may
+    still enter is computed in double precision. Null vectors are left out; a vector without length has the similarity
+    0. Ties go to the lesser key. ``decode`` reads the columns of vectors where they are no arrays.
     """
     scope = scope or []
     if scope:
-        pairs = _packed(vectors, key, "embedding", scope, "v").join(_packed(queries, "query_id", "qvec", scope, "q"), scope)
+        pairs = _packed(vectors, key, "embedding", scope, "v", decode).join(_packed(queries, "query_id", "qvec", scope, "q", decode), scope)
     else:
-        known, few = materialise(_packed(vectors, key, "embedding", scope, "v"), "vectors"), materialise(queries.select("query_id", "qvec"), "queries")
+        known, few = materialise(_packed(vectors, key, "embedding", scope, "v", decode), "vectors"), materialise(queries.select("query_id", "qvec"), "queries")
         parts = max(1, -(-few.count() // TASK_QUERIES))
-        pairs = known.crossJoin(materialise(_packed(few.repartition(parts), "query_id", "qvec", scope, "q"), "asked"))
+        pairs = known.crossJoin(materialise(_packed(few.repartition(parts), "query_id", "qvec", scope, "q", decode), "asked"))
 
     def unit(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
         return np.divide(rows, size[:, None], out=np.zeros(rows.shape), where=size[:, None] > 0).astype("float32")
@@ -98,19 +106,26 @@ def search_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec
         kept: dict[str, _Best] = {}
         for b in batches:
             for r in b.to_dict("records"):
-                v = np.asarray(r["vflat"]).reshape(len(r["vkeys"]), -1)
+                v = np.frombuffer(r["vflat"]).reshape(len(r["vkeys"]), -1)
                 if r["qblock"] not in kept:
-                    q = np.asarray(r["qflat"]).reshape(len(r["qkeys"]), -1)
+                    q = np.frombuffer(r["qflat"]).reshape(len(r["qkeys"]), -1)
                     size = np.linalg.norm(q, axis=1)
                     kept[r["qblock"]] = _Best(np.asarray(r["qkeys"]), [r[c] for c in scope], q, size, unit(q, size), k)
                 own, keys, size = kept[r["qblock"]], np.asarray(r["vkeys"]), np.linalg.norm(v, axis=1)
-                near = own.near @ unit(v, size).T
+                near_v = np.ascontiguousarray(unit(v, size).T)
                 # both precisions and the rounding differ by less
                 slack = 1e-5 + 1e-6 * v.shape[1]
-                least = own.least[:, None] - slack
-                if own.new and k < near.shape[1]:
-                    least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k, None] - 2 * slack)
-                at, col = np.divmod(np.flatnonzero(near >= least.astype("float32")), near.shape[1])
+                pairs = []
+                for lo in range(0, len(own.near), TILE):
+                    near = own.near[lo : lo + TILE] @ near_v
+                    least = own.least[lo : lo + TILE] - slack
+                    if own.new and k < near.shape[1]:
+                        least = np.maximum(least, np.partition(near, -k, axis=1)[:, -k] - 2 * slack)
+                    least = least.astype("float32")
+                    rows = np.flatnonzero(near.max(axis=1) >= least)
+                    at, col = np.divmod(np.flatnonzero(near[rows] >= least[rows, None]), near.shape[1])
+                    pairs.append((rows[at] + lo, col))
+                at, col = (np.concatenate(x) for x in zip(*pairs))
                 length = own.size[at] * size[col]
                 dot = np.einsum("ij,ij->i", own.vectors[at], v[col])
                 own.add(at, keys[col], np.round(np.divide(dot, length, out=np.zeros(len(at)), where=length > 0), 6) + 0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions.vectors import stub_embed, truncate_norm
+from lorekeep.functions.vectors import stub_digest, stub_rows, truncate_norm
 from lorekeep.operators import chunking, evaluate, fusion, lexical, vector, verify
 from lorekeep.sources.tables import materialise, table
 
@@ -81,9 +81,9 @@ def truncated_vectors(spark: SparkSession, d: str) -> DataFrame:
 def _dense_texts(spark: SparkSession, d: str) -> DataFrame:
     """(query_id, doc_id, similarity, rank): documents nearest to each title by the embeddings of their texts."""
     docs = table(spark, d, "documents").where("text is not null")
-    known = docs.select("doc_id", stub_embed(F.col("text"), DIM).alias("embedding"))
-    asked = _queries(docs).select("query_id", stub_embed(F.col("query"), DIM).alias("qvec"))
-    return vector.search_batch(known, asked, TOP, "doc_id")
+    known = docs.select("doc_id", stub_digest(F.col("text")).alias("embedding"))
+    asked = _queries(docs).select("query_id", stub_digest(F.col("query")).alias("qvec"))
+    return vector.search_batch(known, asked, TOP, "doc_id", decode=stub_rows(DIM))
 
 
 def _fused(dense: DataFrame, lexical_arm: DataFrame) -> DataFrame:

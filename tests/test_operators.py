@@ -428,3 +428,47 @@ def test_dense_search_runs_once(spark, data, monkeypatch):
     monkeypatch.setattr(retrieval, "_dense_texts", lambda *a: runs.append(a) or whole(*a))
     retrieval.hybrid_verified(spark, data)
     assert len(runs) == 1
+
+
+def test_terms_are_found_whole(spark):
+    """Terms of one to four words of eight bytes, beginnings of others, at the ends of texts and in other cases."""
+    import numpy as np
+
+    terms = ["a", "abcdefgh", "abcdefghi", "abcdefghijklmnop", "abcdefghijklmnopq", "0123456789" * 3, "z"]
+    text = "A abcdefg.abcdefgh-abcdefghi abcdefghij ABCDEFGHIJKLMNOP abcdefghijklmnopq z " + "0123456789" * 3 + " 012345678901234 zz z"
+    docs = spark.createDataFrame([(2, text), (1, None), (3, ""), (4, "z" * 50), (5, "a")], "id int, text string").coalesce(1)
+    r = lexical._doc_blocks(docs, terms, "id", "text").first()
+    df = lexical._numbers(bytes(r.df), len(terms))
+    doc, tf = (lexical._numbers(bytes(x), int(df.sum())) for x in (r.doc, r.tf))
+    assert r["keys"] == [1, 2, 3, 4, 5] and lexical._numbers(bytes(r.dl), 5).tolist() == [0, 12, 0, 1, 1]
+    assert list(zip(np.repeat(terms, df).tolist(), doc.tolist(), tf.tolist())) == [("a", 1, 1), ("a", 4, 1), *[(t, 1, 1) for t in terms[1:6]], ("z", 1, 2)]
+
+
+def test_lexical_top_of_no_terms(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id int, text string")
+    for query in ("!", "none"):
+        assert not lexical.bm25_top(docs, spark.createDataFrame([(1, query)], "query_id int, query string"), 2).collect()
+
+
+@pytest.mark.parametrize("name", ["hybrid_search", "retrieval_metrics"])
+def test_hybrid_embeds_from_digests(name, spark, data, monkeypatch):
+    """No row of a hybrid search carries its vector as an array through Spark, and the scores stay those of ``stub_embed``."""
+    from lorekeep.plans import retrieval
+
+    seen, packed = [], vector._packed
+    monkeypatch.setattr(vector, "_packed", lambda rows, key, column, *a: seen.append(rows.schema[column].dataType.simpleString()) or packed(rows, key, column, *a))
+    retrieval.QUERIES[name](spark, data)
+    assert seen == ["binary", "binary"]
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null")
+    want = vector.search_batch(docs.select("doc_id", stub_embed(F.col("text"), 16).alias("embedding")), retrieval._queries(docs).select("query_id", stub_embed(F.col("query"), 16).alias("qvec")), 10, "doc_id")
+    assert sorted(map(tuple, retrieval._dense_texts(spark, data).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("ids", [list(range(40, 0, -1)), [f"d{i:02}" for i in range(40, 0, -1)]])
+def test_lexical_ties_across_blocks(spark, monkeypatch, ids):
+    """More equal scores than places, over several blocks: the lesser keys win."""
+    monkeypatch.setattr(lexical, "DOC_BLOCK", 3)
+    kind = "int" if isinstance(ids[0], int) else "string"
+    docs = spark.createDataFrame([(x, "a b" if i % 2 else "a c") for i, x in enumerate(ids)], f"doc_id {kind}, text string").coalesce(1)
+    got = lexical.bm25_top(docs, spark.createDataFrame([(1, "a")], "query_id int, query string"), 5).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == sorted(ids)[:5]
