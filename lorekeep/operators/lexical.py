@@ -278,6 +278,9 @@ class _Tops:
                 continue
             found = score[some]
             if len(some) > 4 * k:
+                some = some[found >= np.partition(found, len(some) - k)[len(some) - k] - 1e-6]
+                found = score[some]
+            if len(some) > 4 * k:  # many of about the same score
                 found = np.round(found, 6)
                 enter = found >= np.partition(found, len(some) - k)[len(some) - k]
                 some, found = some[enter], found[enter]

@@ -472,3 +472,11 @@ def test_lexical_ties_across_blocks(spark, monkeypatch, ids):
     docs = spark.createDataFrame([(x, "a b" if i % 2 else "a c") for i, x in enumerate(ids)], f"doc_id {kind}, text string").coalesce(1)
     got = lexical.bm25_top(docs, spark.createDataFrame([(1, "a")], "query_id int, query string"), 5).collect()
     assert [r.doc_id for r in sorted(got, key=lambda r: r["rank"])] == sorted(ids)[:5]
+
+
+def test_retrieval_metrics_reads_questions_once(spark, data):
+    """Documents are read for the questions and for each of the two searches, and not by the plan that is left."""
+    from lorekeep.plans import retrieval
+
+    plan = retrieval.retrieval_metrics(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" in plan and "text#" not in plan
